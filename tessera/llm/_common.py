@@ -44,7 +44,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def size_hint(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes of df; for tables read from files, their size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def pieces_for(df: DataFrame, bytes_each: int, most: int = 1 << 20) -> int:

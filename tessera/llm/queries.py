@@ -7,15 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import token_count
+from tessera.llm import packing, token_count
 from tessera.llm._common import table
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = public_tokenizers.path
+    return packing.pack(table(spark, sf_dir, "documents"), at("byte_bpe_50k.json"), at("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
 
