@@ -69,13 +69,13 @@ class Machine:
         return 1 / (1 + float(np.exp(-min(40.0, max(-40.0, z)))))
 
 
-def learn(rows: list[np.ndarray], labels: np.ndarray, width: int, rank: int = 8, epochs: int = 12, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+def learn(rows: list[np.ndarray], labels: np.ndarray, width: int, rank: int = 8, epochs: int = 12, least_steps: int = 400, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and factors by AdaGrad on the logistic loss. rows: the kept terms' numbers of each text."""
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(width, np.float32), rng.normal(0, 0.02, (width, rank)).astype(np.float32), 0.0
     gw, gv, gb = np.full(width, 1e-4, np.float32), np.full((width, rank), 1e-4, np.float32), 1e-4
     y = labels.astype(np.float32)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // len(rows)))):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), batch):
             part = order[k : k + batch]
