@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import block_join, kdtree, line_dedup, mixing, packing, simhash, surrogates, token_count, toxicity
+from tessera.llm import block_join, kdtree, language_model, line_dedup, mixing, packing, simhash, surrogates, token_count, toxicity
 from tessera.llm._common import table
 
 
@@ -20,6 +20,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIXTURE)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_model.stupid_backoff(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "words", F.round("log10_score", 6).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.marked(docs, "source", **BOILERPLATE).select("doc_id", "source", "line_count", "dropped_lines", F.md5("kept_text").alias("kept_md5"))
@@ -60,6 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_language_model": op2_language_model,
     "op3_line_dedup": op3_line_dedup,
     "op4_surrogates": op4_surrogates,
     "op5_simhash": op5_simhash,
@@ -83,6 +89,7 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score {order
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.SQL.format(seed=MIXTURE.seed, entropy=MIXTURE.entropy, repeats=MIXTURE.repeats, budget=MIXTURE.budget, block_tokens=MIXTURE.block_tokens),
+    "op2_language_model": language_model.SQL.format(backoff=0.4),
     "op3_line_dedup": line_dedup.SQL.format(**BOILERPLATE),
     "op6_kdtree": USABLE.format(each="list_transform(embedding, lambda x: floor(x::DOUBLE * 1024))", more="", score="list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT", order="DESC"),
     "op8_block_join": USABLE.format(each="embedding::DOUBLE[]", more="AND len(list_filter(embedding, lambda x: x <> 0)) > 0", score="sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))", order="ASC"),

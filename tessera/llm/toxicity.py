@@ -69,7 +69,7 @@ class Machine:
         return 1 / (1 + float(np.exp(-min(40.0, max(-40.0, z)))))
 
 
-def learn(rows: list[np.ndarray], labels: np.ndarray, width: int, rank: int = 8, epochs: int = 12, least_steps: int = 400, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+def learn(rows: list[np.ndarray], labels: np.ndarray, width: int, rank: int = 8, epochs: int = 12, least_steps: int = 200, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and factors by AdaGrad on the logistic loss. rows: the kept terms' numbers of each text."""
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(width, np.float32), rng.normal(0, 0.02, (width, rank)).astype(np.float32), 0.0
@@ -94,7 +94,7 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, width: int, rank: int = 8,
     return bias, w, v
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 2_048, min_docs: int = 5, folds: int = 4, held_out: int = 2, label: str = "toxic") -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 512, min_docs: int = 3, folds: int = 4, held_out: int = 2, label: str = "toxic") -> Machine:
     """The machine from the labelled rows that may be learned from."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != held_out))
     chosen = usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
