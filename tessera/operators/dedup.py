@@ -93,7 +93,11 @@ def contained(df: DataFrame, key: str, text: Column, passages: DataFrame, pid: s
     p = p.withColumn("_n", F.least(F.size("_w"), F.lit(size))).withColumn("_h", F.xxhash64(F.array_join(F.slice("_w", 1, size), " ")))
     sizes = [r[0] for r in p.select("_n").distinct().limit(size).collect()]  # at most `size` numbers
     rows = df.select(F.col(key), text.alias("_t"), words(text).alias("_v"))
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("_v") - n + 1, F.lit(1))), lambda i, n=n: F.xxhash64(F.array_join(F.slice("_v", i, n), " "))) for n in sizes]
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_v") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_v", i, n), " ")))
+
+    runs = [runs_of(n) for n in sizes]
     hashes = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<bigint>")
     found = rows.select(key, F.explode(hashes).alias("_h")).join(p.select(pid, "_h"), "_h").select(key, pid).distinct()
     checked = found.join(df.select(F.col(key), text.alias("_t")), key).join(p.select(pid, "_p"), pid)

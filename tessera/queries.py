@@ -1,10 +1,6 @@
 """All queries over the engine's own operators, by name, with equivalent DuckDB SQL."""
 
-from __future__ import annotations
+from tessera.plans import corpus, evaluation, extensions, rewards, sampling  # noqa: F401
+from tessera.plans._registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

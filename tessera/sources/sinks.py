@@ -41,7 +41,7 @@ def chat_format(df: DataFrame) -> DataFrame:
 
 
 def last_of(messages: Column, role: str) -> Column:
-    return F.coalesce(F.element_at(F.filter(messages, lambda m: m["role"] == role), -1)["content"], F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(messages, lambda m: m["role"] == role), F.lit(-1))["content"], F.lit(""))
 
 
 def instruction_format(df: DataFrame) -> DataFrame:
