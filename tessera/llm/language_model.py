@@ -6,7 +6,7 @@ shortened; a word that occurs nowhere else counts as seen once. With
 ``leave_one_out`` a document's own n-grams are taken from the counts, so every
 document is scored by the rest of the corpus.
 
-The relations are these, with an n-gram as the 64-bit hash of its words:
+The relations are these, with an n-gram as the 56-bit hash of its words:
 
 * n-grams exploded from documents, summed in a block of documents, and dealt by
   hash range (rows: range, block, sorted hashes, counts);
@@ -38,6 +38,10 @@ from pyspark.sql import functions as F
 from tessera.llm._common import pieces_for
 
 
+#: Of a hash so many bits are kept: among 10^13 different n-grams one in 7,000 shares its hash with another.
+BITS = 56
+
+
 def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     x = context * np.uint64(0x9E3779B97F4A7C15) + word
     x ^= x >> np.uint64(32)
@@ -87,6 +91,7 @@ class Block:
             before = np.concatenate((np.zeros(1, np.uint64), self.grams[-1][:-1])) if len(h) else h
             self.grams.append(_mixed(before, h))
             self.valid.append(place >= k)
+        self.grams = [g >> np.uint64(64 - BITS) for g in self.grams]
         every = np.concatenate([g[v] for g, v in zip(self.grams, self.valid, strict=True)])
         self.distinct, self.counts = np.unique(every, return_counts=True)
 
@@ -108,10 +113,10 @@ class Block:
         return np.bincount(self.doc, np.log10(s), len(self.lengths))
 
 
-def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, leave_one_out: bool = True, block_bytes: int = 1 << 20) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, leave_one_out: bool = True, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, words, log10_score (summed over words), mean_log10."""
     blocks = pieces_for(docs, block_bytes)
-    ranges = max(1, blocks // 2)
+    ranges = 2 * blocks
     kind = dict(docs.dtypes)["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
     total = docs.agg(F.coalesce(F.sum(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
@@ -119,7 +124,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, leave_
 
     def counted(key: tuple, table: pa.Table) -> pa.Table:
         b = Block(table.column("text").to_pylist(), order)
-        edges = np.searchsorted(b.distinct, np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)) if ranges > 1 else np.zeros(0, int)
+        edges = np.searchsorted(b.distinct, np.array([(r << BITS) // ranges for r in range(1, ranges)], np.uint64)) if ranges > 1 else np.zeros(0, int)
         spans = [(r, x, y) for r, (x, y) in enumerate(zip([0, *edges], [*edges, len(b.distinct)], strict=True)) if y > x]
         block = key[0].as_py()
         return pa.table([pa.array([s[0] for s in spans], pa.int64()), pa.array([block] * len(spans), pa.int64()), pa.array([_pack(b.distinct[x:y]) for _, x, y in spans], pa.binary()), pa.array([_small(b.counts[x:y]) for _, x, y in spans], pa.binary())], names=["range", "from_block", "grams", "counts"])
