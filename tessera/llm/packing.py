@@ -33,7 +33,8 @@ import base64
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,29 @@ from tessera.llm._common import pieces_for, stored
 RISKY = re.compile(r" (?=\s|\Z)")
 #: Letters whose classes are the same in every Unicode version that a library may hold.
 USUAL = "ɏ"
+#: A word with signs and another line's first word: pre-tokens that are remembered one by one. Apostrophes and digits are left to the tokenizer.
+_L, _P = "[A-Za-zÀ-ÖØ-öø-ÿ]+", '[]!"#$%&()*+,./:;<=>?@[^_`{|}~-]+'
+PARTS = re.compile(rf"( ?{_L})({_P})?(?:(\n)({_L})({_P})?)?")
+#: Stands between words while a text is cut.
+CUT = "\x1f"
+
+
+class Words(dict):
+    """Ids by word; words that are not there are encoded. Two generations are remembered."""
+
+    def __init__(self, encode: Callable[[str], bytes], memory: int):
+        super().__init__()
+        self.encode, self.memory, self.older = encode, memory, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.memory:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -57,15 +81,16 @@ class Encoder:
     through tokenizers itself.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None, memory: int = 250_000):
+    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None, memory: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.dtype == "<u2" else "I"
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.memory, self.new, self.old = memory, {}, {}
+        self.words = Words(self._word, memory)
         self.quick = None
         if ranks_path and pattern:
             import tiktoken
@@ -78,30 +103,20 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if (ids := self.new.get(word)) is None:
-            if len(self.new) >= self.memory:
-                self.new, self.old = {}, self.new
-            if (ids := self.old.get(word)) is None:
-                if self.quick and word and max(word) <= USUAL:
-                    ids = np.array(self.quick.encode_ordinary(word), self.dtype).tobytes()
-                else:
-                    ids = self._slow(word)
-            self.new[word] = ids
-        return ids
+        if not word:
+            return b""
+        if (m := PARTS.fullmatch(word)) and m.lastindex > 1:
+            return b"".join(self.words[p] for p in m.groups() if p)
+        if self.quick and max(word) <= USUAL:
+            return array(self.code, self.quick.encode_ordinary(word)).tobytes()
+        return self._slow(word)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if RISKY.search(text) or (self.special and self.special.search(text)):
+        if CUT in text or RISKY.search(text) or (self.special and self.special.search(text)):
             return self._slow(text)
-        first, *rest = text.split(" ")
-        get = self.new.get
-        out = [self._word(first)] if first else []
-        for w in rest:
-            w = " " + w
-            out.append(get(w) or self._word(w))
-            get = self.new.get
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, text.replace(" ", f"{CUT} ").split(CUT)))
 
 
 _MADE: dict[tuple, Encoder] = {}
