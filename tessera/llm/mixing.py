@@ -130,9 +130,17 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _with_source(rows: DataFrame, sources: DataFrame, target: Target, salts: int = 32) -> DataFrame:
+    """rows with columns of their source. Beyond what may be broadcast, each source is dealt under every salt, so that a hot one is split."""
+    if sources.count() <= target.broadcast_rows:
+        return rows.join(F.broadcast(sources), "key")
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_hash"), F.lit(salts)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def plan(rows: DataFrame, sources: DataFrame, target: Target) -> DataFrame:
     """key, block, epoch, block_start, upto: which blocks each epoch takes, in which order, and up to which document hash (null: all)."""
-    placed = rows.join(sources.select("key", "blocks", "epochs", "rest"), "key").withColumn("block", _block(F.col("doc_hash"), F.col("blocks")))
+    placed = _with_source(rows, sources.select("key", "blocks", "epochs", "rest"), target).withColumn("block", _block(F.col("doc_hash"), F.col("blocks")))
     sizes = placed.groupBy("key", "block").agg(F.sum("tokens").alias("of_block"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
     each = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs")))).where((F.col("epoch") < F.col("epochs")) | (F.col("rest") > 0))
     each = each.withColumn("block_hash", _digest(target.seed, F.col("epoch"), F.col("key"), F.col("block")))
@@ -157,7 +165,7 @@ def _planned(docs: DataFrame, target: Target, source: str) -> tuple[DataFrame, D
 
 def _realised(rows: DataFrame, sources: DataFrame, steps: DataFrame, target: Target) -> DataFrame:
     """rows (with key, doc_hash) once for each time they are taken, with epoch, block, block_start."""
-    placed = rows.join(_small(sources.select("key", "blocks"), target.broadcast_rows), "key").withColumn("block", _block(F.col("doc_hash"), F.col("blocks")))
+    placed = _with_source(rows, sources.select("key", "blocks"), target).withColumn("block", _block(F.col("doc_hash"), F.col("blocks")))
     out = placed.join(_small(steps, target.broadcast_rows), ["key", "block"])
     return out.where(F.col("upto").isNull() | (F.col("doc_hash") <= F.col("upto")))
 
@@ -171,7 +179,7 @@ def mix(docs: DataFrame, target: Target = Target(), source: str = "source") -> D
 
 def mixed(docs: DataFrame, target: Target, source: str = "source") -> DataFrame:
     """Rows of docs, columns as before, each as often as the mixture takes it."""
-    if clash := [c for c in docs.columns if c in ("key", "doc_hash", "blocks", "block", "epoch", "block_start", "upto")]:
+    if clash := [c for c in docs.columns if c in ("key", "doc_hash", "blocks", "block", "epoch", "block_start", "upto", "salt")]:
         raise ValueError(f"docs must not have columns named {clash}")
     _, sources, steps = _planned(docs, target, source)
     rows = docs.select("*", source_key(F.col(source)).alias("key"), _digest(target.seed, F.col("doc_id")).alias("doc_hash"))
