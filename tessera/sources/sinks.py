@@ -62,7 +62,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Columns in this order; nested values as JSON text."""
     kinds = dict(df.dtypes)
     nested = lambda c: kinds[c].startswith(("array", "map", "struct"))
-    df.select(*(F.to_json(c).alias(c) if nested(c) else F.col(c) for c in columns)).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*(F.to_json(c).alias(c) if nested(c) else F.col(c) for c in columns)).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def batched(df: DataFrame, order: list[Column], size: int, repeated: DataFrame | None = None) -> DataFrame:
