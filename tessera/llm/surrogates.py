@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut
+from tessera.llm._common import cut, pieces_for
 
 # Titles and first names by gender and script.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "госпожа"), "": ("Dr", "Prof")}
@@ -287,7 +287,7 @@ def exceptions(known: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
 
 def pseudonymised(docs: DataFrame, key: bytes, broadcast_entities: int = 20_000) -> DataFrame:
     """doc_id, text with surrogates, entities (how many were replaced)."""
-    known = cut(_found(docs, []).distinct())
+    known = cut(_found(docs, []).distinct().repartition(pieces_for(docs, 16 << 20), "kind", "norm"))
     odd = cut(exceptions(known, key))
     kind = dict(docs.dtypes)["doc_id"]
     small = odd.count() <= broadcast_entities
