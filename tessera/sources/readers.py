@@ -24,13 +24,19 @@ def _tolerant(schema: T.StructType | str) -> T.StructType:
 def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType | str, good_only: bool = True) -> DataFrame:
     """One object a line; blank lines are skipped, malformed ones kept apart or left out."""
     df = spark.read.schema(_tolerant(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if good_only else df
+    return _good(df) if good_only else df
+
+
+def _good(df: DataFrame) -> DataFrame:
+    """Rows that were read. The condition names a data column, as Spark doesn't scan files for the corrupt column alone."""
+    first = F.coalesce(F.col(next(c for c in df.columns if c != CORRUPT)).cast("string"), F.lit(""))
+    return df.where(F.when(F.col(CORRUPT).isNull(), first).isNotNull()).drop(CORRUPT)
 
 
 def json_arrays(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     """Files that hold an array of objects, or one object; unreadable files give no rows. Adds source_file."""
     df = spark.read.schema(_tolerant(schema)).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return df.withColumn("source_file", F.col("_metadata.file_path")).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return _good(df.withColumn("source_file", F.col("_metadata.file_path")))
 
 
 def wrapped_examples(text: Column, schema: str) -> Column:

@@ -70,7 +70,7 @@ def test_positions_do_not_depend_on_partitions(spark, parts):
 
 def test_docblocks(spark):
     c = lambda s: X.docblock_summary(F.lit(s))
-    r = one(spark, a=c("/**\n * Gets the value of a key.\n * More text.\n * @param x\n */"), b=c("/**\n * Constructor.\n */"), d=c("/** Internationalization */"), e=c(None))
+    r = one(spark, a=c("/**\n * Gets the value of a key.\n * More text.\n * @param x\n */"), b=c("/**\n * Constructor.\n */"), d=c("/**\n * Internationalization\n */"), e=c(None))
     assert tuple(r) == ("Gets the value of a key. More text.", "", "", "")
 
 
