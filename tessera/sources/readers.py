@@ -23,20 +23,15 @@ def _tolerant(schema: T.StructType | str) -> T.StructType:
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType | str, good_only: bool = True) -> DataFrame:
     """One object a line; blank lines are skipped, malformed ones kept apart or left out."""
-    df = spark.read.schema(_tolerant(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return _good(df) if good_only else df
-
-
-def _good(df: DataFrame) -> DataFrame:
-    """Rows that were read. The condition names a data column, as Spark doesn't scan files for the corrupt column alone."""
-    first = F.coalesce(F.col(next(c for c in df.columns if c != CORRUPT)).cast("string"), F.lit(""))
-    return df.where(F.when(F.col(CORRUPT).isNull(), first).isNotNull()).drop(CORRUPT)
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    df = rows.select(F.from_json("value", _tolerant(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if good_only else df
 
 
 def json_arrays(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     """Files that hold an array of objects, or one object; unreadable files give no rows. Adds source_file."""
     df = spark.read.schema(_tolerant(schema)).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return _good(df.withColumn("source_file", F.col("_metadata.file_path")))
+    return df.withColumn("source_file", F.col("_metadata.file_path")).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def wrapped_examples(text: Column, schema: str) -> Column:
@@ -102,7 +97,7 @@ def file_tree(spark: SparkSession, root: str, glob: str = "*", paths: Iterable[s
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     rel = F.regexp_replace(F.col("path"), "^.*?" + "".join(f"\\{c}" if not c.isalnum() and c != "/" else c for c in root.rstrip("/")) + "/", "")
     df = df.withColumn("rel_path", rel).where(path_allowed(F.col("rel_path"), paths, skip_paths))
-    return df.select("rel_path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return df.select("rel_path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
 
 
 def captured(df: DataFrame) -> DataFrame:
