@@ -109,14 +109,15 @@ def exponent(sources: DataFrame, target: Target) -> float:
 
 def budgets(sources: DataFrame, target: Target, x: float) -> DataFrame:
     """key, of_source, weight, budget, blocks, epochs (whole ones) and rest (tokens of the last one)."""
-    sums = sources.where("of_source > 0").agg(F.sum("of_source").cast("double").alias("total"), F.max("of_source").cast("double").alias("most"))
-    z = sources.where("of_source > 0").crossJoin(F.broadcast(sums)).agg(F.sum(F.pow(F.col("of_source") / F.col("total"), F.lit(x))).alias("z"), F.first("total").alias("total"), F.first("most").alias("most"))
-    w = F.pow(F.col("of_source") / F.col("total"), F.lit(x)) / F.col("z")
-    all_tokens = F.col("total") * F.lit(target.budget) if target.budget is not None else F.col("z") * F.col("total") * F.pow(F.col("most") / F.col("total"), F.lit(1 - x))
+    live = sources.where("of_source > 0")
+    total, most = live.agg(F.coalesce(F.sum("of_source").cast("double"), F.lit(1.0)), F.coalesce(F.max("of_source").cast("double"), F.lit(1.0))).first()
+    power = F.pow(F.col("of_source") / F.lit(total), F.lit(x))
+    z = live.agg(F.coalesce(F.sum(power), F.lit(1.0))).first()[0]
+    all_tokens = total * target.budget if target.budget is not None else z * total * (most / total) ** (1 - x)
     own = F.floor(F.col("weight") * all_tokens)
     if target.budget is None:
         own = F.greatest(own, F.col("of_source"))
-    joined = sources.crossJoin(F.broadcast(z)).withColumn("weight", F.when(F.col("of_source") > 0, w).otherwise(0.0))  # z is one row
+    joined = sources.withColumn("weight", F.when(F.col("of_source") > 0, power / F.lit(z)).otherwise(0.0))
     joined = joined.withColumn("budget", F.when(F.col("of_source") > 0, own).otherwise(0).cast("long"))
     one = F.greatest(F.col("of_source"), F.lit(1))
     return joined.select("key", "of_source", "weight", "budget", F.greatest(F.lit(1), F.ceil(F.col("of_source") / target.block_tokens)).cast("long").alias("blocks"), F.when(F.col("of_source") > 0, F.floor(F.col("budget") / one)).otherwise(1).cast("int").alias("epochs"), F.when(F.col("of_source") > 0, F.col("budget") % one).otherwise(0).alias("rest"))

@@ -158,10 +158,9 @@ def carried(tokens: DataFrame, shares: dict[str, float] | None = None) -> DataFr
     for name, share in (shares or {}).items():
         asked = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(share))).otherwise(asked)
     by_source = by_source.withColumn("asked", asked)
-    total = by_source.agg(F.sum(F.when(F.col("asked").isNull(), F.col("of_source"))).alias("unasked"), F.coalesce(F.sum("asked"), F.lit(0.0)).alias("given"))
-    left = F.greatest(F.lit(0.0), 1 - F.col("given"))
-    share = F.coalesce(F.col("asked") / F.greatest(F.lit(1.0), F.col("given")), left * F.col("of_source") / F.col("unasked"))
-    targets = by_source.crossJoin(F.broadcast(total)).select("source", share.alias("share"))  # total has one row
+    unasked, given = by_source.agg(F.coalesce(F.sum(F.when(F.col("asked").isNull(), F.col("of_source"))), F.lit(0)), F.coalesce(F.sum("asked"), F.lit(0.0))).first()
+    share = F.coalesce(F.col("asked") / max(1.0, given), F.col("of_source") * (max(0.0, 1 - given) / max(1, unasked)))
+    targets = by_source.select("source", share.alias("share"))
     lanes = by.groupBy("lane").agg(F.sum("n").alias("of_lane")).withColumn("block", F.floor(F.col("lane") / 4096))
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
     blocks = lanes.groupBy("block").agg(F.sum("of_lane").alias("of_block")).select("block", F.coalesce(F.sum("of_block").over(earlier.orderBy("block")), F.lit(0)).alias("blocks_before"))
