@@ -69,9 +69,9 @@ def _large(data: bytes) -> np.ndarray:
 
 
 class Block:
-    """The n-grams of some documents. grams[k]: hash of the k+1 words up to each word; valid[k]: whether the document has so many."""
+    """The n-grams of some documents. grams[k]: hash (to score: place) of the k+1 words up to each word; valid[k]: whether the document has so many."""
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, texts: list[str | None], order: int, to_score: bool = False):
         known: dict[bytes, int] = {}
         digest = xxhash.xxh64_intdigest
         hashes, lengths = [], []
@@ -93,17 +93,26 @@ class Block:
             self.valid.append(place >= k)
         self.grams = [g >> np.uint64(64 - BITS) for g in self.grams]
         every = np.concatenate([g[v] for g, v in zip(self.grams, self.valid, strict=True)])
-        self.distinct, self.counts = np.unique(every, return_counts=True)
+        if not to_score:
+            self.distinct, self.counts = np.unique(every, return_counts=True)
+            return
+        self.distinct, back, self.counts = np.unique(every, return_inverse=True, return_counts=True)
+        self.grams, begin = [], 0  # from here on, places among distinct
+        for v in self.valid:
+            at = np.zeros(len(v), np.int64)
+            at[v] = back[begin : (begin := begin + int(v.sum()))]
+            self.grams.append(at)
 
     def scores(self, counts: np.ndarray, total: int, backoff: float, leave_one_out: bool) -> np.ndarray:
         """Of each document the sum of log10 S. counts: of self.distinct."""
         left = []
-        for g, v in zip(self.grams, self.valid, strict=True):
-            at = np.searchsorted(self.distinct, np.where(v, g, self.distinct[0]))
+        for at, v in zip(self.grams, self.valid, strict=True):
             n = counts[at]
             if leave_one_out:
-                _, back, own = np.unique(self.doc * len(self.distinct) + np.where(v, at, -1), return_inverse=True, return_counts=True)
-                n = n - own[back]
+                n -= 1
+                more = np.flatnonzero(v & (self.counts[at] > 1))  # others occur once in the block, so once in their document
+                _, back, own = np.unique(self.doc[more] * len(self.distinct) + at[more], return_inverse=True, return_counts=True)
+                n[more] -= own[back] - 1
             left.append(np.where(v, n, 0))
         rest = total - (self.lengths[self.doc] if leave_one_out else 0)
         s = np.maximum(left[0], 1) / np.maximum(rest, 1)
@@ -139,7 +148,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, leave_
         return pa.table([table.column("range"), table.column("from_block"), pa.array(parts, pa.binary())], names=["range", "to_block", "sums"])
 
     def scored(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(table.column("text").to_pylist(), order)
+        b = Block(table.column("text").to_pylist(), order, to_score=True)
         ordered = answers.sort_by("range").column("sums").to_pylist()
         if len(b.distinct):
             sums = b.scores(np.concatenate([_large(x) for x in ordered]), total, backoff, leave_one_out)
