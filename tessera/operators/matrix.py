@@ -17,7 +17,7 @@ def coverage(df: DataFrame, layer: str, expert: str, n: str) -> DataFrame:
     """Rank from the largest count and the share that is covered up to it."""
     order = Window.partitionBy(layer).orderBy(F.desc(n), expert)
     upto = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(n).over(Window.partitionBy(layer))
-    return df.select(layer, expert, F.row_number().over(order).alias("rank"), upto.alias("covered"))
+    return df.select(layer, expert, F.row_number().over(order).cast("long").alias("rank"), upto.alias("covered"))
 
 
 def top(df: DataFrame, layer: str, expert: str, n: str, k: int) -> DataFrame:

@@ -141,7 +141,7 @@ DAILY = "SELECT event_type, date_diff('day', DATE '2024-01-01', ts::DATE) AS ste
 
 def _daily(spark, sf_dir):
     (e,) = tables(spark, sf_dir, "events")
-    return e.groupBy("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("step")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+    return e.groupBy("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("step")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
 
 
 @query(f"""
