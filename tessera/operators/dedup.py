@@ -41,8 +41,12 @@ def dual_key(df: DataFrame, first: str, second: str, seq: str) -> DataFrame:
 def shingles(text: Column, size: int) -> Column:
     """Distinct runs of size words; a shorter text is one run of all its words, an empty one has none."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    return F.get(F.transform(F.array(words), runs), 0)  # bound once: an expression within a lambda is evaluated for each element
 
 
 def jaccard_pairs(df: DataFrame, key: str, text: Column, size: int = 5, threshold: float = 0.8) -> DataFrame:
