@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.components import _kept
+
 
 def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """df with value's rank in its group, ties sharing the mean of theirs."""
@@ -160,14 +162,119 @@ def wilson_upper(hits: Column, n: Column, z: float = 1.96) -> Column:
     return F.when(n == 0, 1.0).otherwise((p + z * z / (2 * n) + z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))
 
 
-def pair_agreement(df: DataFrame, by: list[str], gt: str, model: str, key: str) -> DataFrame:
-    """Among pairs whose truths differ, the share that the model orders alike; its ties count against it."""
-    cols = [*by, key, gt, model]
-    other = df.select(*by, *(F.col(c).alias(f"_{c}") for c in (key, gt, model)))
-    pairs = df.select(*cols).join(other, by) if by else df.select(*cols).crossJoin(other)
-    pairs = pairs.where((F.col(key) < F.col(f"_{key}")) & (F.col(gt) != F.col(f"_{gt}")))
-    good = ((F.col(gt) - F.col(f"_{gt}")) * (F.col(model) - F.col(f"_{model}")) > 0).cast("double")
-    return pairs.groupBy(*by).agg(F.count("*").alias("pairs"), F.avg(good).alias("agreement"))
+def less_in_both(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of each point the weight of the points that are less in x and in y. x: whole numbers from 0.
+
+    Two x first differ in one bit; for each bit, points that have it set are
+    compared with those of the same higher bits that do not, by cumulated
+    weights in order of y.
+    """
+    order = np.argsort(y, kind="stable")
+    x, y, w = x[order], y[order], w[order]
+    found, at = np.zeros(len(x), np.int64), np.arange(len(x))
+    for k in range(int(x.max(initial=0)).bit_length()):
+        o = np.argsort(x >> (k + 1), kind="stable")
+        high, upper = x[o] >> (k + 1), (x[o] >> k & 1).astype(bool)
+        before = np.concatenate(([0], np.cumsum(np.where(upper, 0, w[o]))))
+        node = np.concatenate(([True], high[1:] != high[:-1]))
+        tie = node | np.concatenate(([True], y[o][1:] != y[o][:-1]))
+        first = lambda new: np.maximum.accumulate(np.where(new, at, 0))
+        found[o] += np.where(upper, before[first(tie)] - before[first(node)], 0)
+    out = np.empty(len(x), np.int64)
+    out[order] = found
+    return out
+
+
+def _dominating(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys, x, y, less and more of rows x, y and w that are distinct in their group, which one task holds."""
+    cols = [*keys, x, y]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.unique(pdf[c].to_numpy(), return_inverse=True)[1].astype(np.int64) for c in (x, y))
+        w = pdf["w"].to_numpy(np.int64)
+        return pdf[cols].assign(less=less_in_both(a, b, w), more=less_in_both(a.max() - a, -b, w))
+
+    return df.select(*cols, "w").groupBy(*keys).applyInPandas(one, f"{schema}, less long, more long")
+
+
+def _range_blocks(df: DataFrame, column: str, pieces: int) -> tuple[list[float], list[int]]:
+    """Lower bounds of blocks of about equal size, and which blocks hold one value only, as frequent values get their own."""
+    if pieces < 2:
+        return [], []
+    q = df.approxQuantile(column, [k / pieces for k in range(1, pieces)], 0.25 / pieces)
+    hot = {a for a, b in zip(q, q[1:], strict=False) if a == b}
+    bounds = sorted(set(q) | {float(np.nextafter(v, np.inf)) for v in hot})
+    return bounds, [bounds.index(v) + 1 for v in hot]
+
+
+def dominance(points: DataFrame, by: list[str], x: str, y: str, weight: str, block_rows: int = 100_000) -> DataFrame:
+    """by, x, y, w, less and more of each distinct point: its weight, and the weights of its group's points that are less, and more, in both x and y (as doubles).
+
+    No pair is made: x and y are cut into ranges of about block_rows points. What
+    is in other ranges of both is counted by cells, what shares one range within it.
+    """
+    cells = _kept(points.groupBy(*by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).agg(F.sum(weight).alias("w")))
+    pieces = -(-cells.count() // block_rows)
+    (xs, single_x), (ys, single_y) = _range_blocks(cells, x, pieces), _range_blocks(cells, y, pieces)
+
+    def block(bounds: list[float], column: str) -> Column:
+        if not bounds:
+            return F.lit(0)
+
+        @F.pandas_udf("int")
+        def at(v: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(bounds, v.to_numpy(), "right").astype(np.int32))
+
+        return at(column)
+
+    cells = cells.withColumn("_a", block(xs, x)).withColumn("_b", block(ys, y))
+    inner = _dominating(cells.where(~F.col("_a").isin(single_x)), [*by, "_a"], x, y)
+    if pieces < 2:
+        return cells.join(inner, [*by, "_a", x, y]).drop("_a", "_b")
+    # in the same range of y, by ranges of x; and in other ranges of both
+    beside = _dominating(cells.where(~F.col("_b").isin(single_y)).groupBy(*by, "_b", "_a", y).agg(F.sum("w").alias("w")), [*by, "_b"], "_a", y)
+    apart = _dominating(cells.groupBy(*by, "_a", "_b").agg(F.sum("w").alias("w")), by, "_a", "_b")
+    out = cells
+    for k, (part, on) in enumerate(((inner, [*by, "_a", x, y]), (beside, [*by, "_b", "_a", y]), (apart, [*by, "_a", "_b"]))):
+        out = out.join(part.withColumnsRenamed({"less": f"_l{k}", "more": f"_m{k}"}), on, "left")
+    total = lambda n: sum((F.coalesce(f"_{n}{k}", F.lit(0)) for k in range(3)), F.lit(0))
+    return out.select(*by, x, y, "w", total("l").alias("less"), total("m").alias("more"))
+
+
+def _known(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+
+
+def pair_agreement(df: DataFrame, by: list[str], gt: str, model: str, key: str, block_rows: int = 100_000) -> DataFrame:
+    """Among pairs whose truths differ, the share that the model orders alike; its ties count against it.
+
+    Pairs are counted by ranks (dominance), never made. Rows without key or truth
+    are in no pair, and rows of the same key in none together; pairs without a
+    model's value count as pairs but not in the share.
+    """
+    group = by or ["_all"]
+    rows = df.withColumn("_all", F.lit(0)).select(*group, key, gt, model, F.lit(1).alias("_one")).where(F.col(key).isNotNull() & _known(gt))
+    for c in group:
+        rows = rows.where(F.col(c).isNotNull())
+
+    def counted(rows: DataFrame, within: list[str]) -> DataFrame:
+        def differing(r: DataFrame, name: str) -> DataFrame:
+            same = r.groupBy(*within, gt).agg(F.count("*").alias("c"))
+            c, n = F.col("c"), F.sum("c")
+            return same.groupBy(*within).agg(((n * n - F.sum(c * c)) / 2).cast("long").alias(name))
+
+        judged = rows.where(_known(model))
+        good = dominance(judged, within, gt, model, "_one", block_rows).groupBy(*within).agg(F.sum(F.col("w") * F.col("less")).alias("good"))
+        return differing(rows, "pairs").join(differing(judged, "judged"), within, "left").join(good, within, "left")
+
+    found = counted(rows, group)
+    again = rows.groupBy(*group, key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    if not again.isEmpty():
+        less = counted(rows.join(again, [*group, key], "left_semi"), [*group, key])
+        found = found.unionByName(less.select(*group, *((-F.col(c)).alias(c) for c in ("pairs", "judged", "good"))))
+    out = found.groupBy(*group).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("pairs", "judged", "good"))).where("pairs > 0")
+    return out.select(*by, "pairs", F.try_divide("good", "judged").alias("agreement"))
 
 
 def ndcg(df: DataFrame, by: list[str], gain: str, score: str, key: str, k: int = 10) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import stats
+
 EPSILON = 1e-8
 
 
@@ -41,12 +43,20 @@ def composite(df: DataFrame, group: str, parts: dict[str, float], failed: Column
     return out.withColumn("reward", F.when(failed, 0.0).otherwise(F.col("composite_pre_gate"))).drop(*(f"_{p}" for p in parts))
 
 
-def concordance(items: DataFrame, anchors: DataFrame, key: str, gt: str, model: str) -> DataFrame:
-    """Of each item the share of anchors with another truth that the model orders as the truth does, and 1 - |error|/100; null without such an anchor. Anchors are a chosen few."""
-    few = F.broadcast(anchors.limit(10_000).select(F.col(gt).alias("_g"), F.col(model).alias("_m")))
-    pairs = items.join(few, F.col(gt) != F.col("_g"), "left")
-    good = F.when(F.col("_g").isNotNull(), ((F.col(gt) - F.col("_g")) * (F.col(model) - F.col("_m")) > 0).cast("double"))
-    return pairs.groupBy(key).agg(F.avg(good).alias("pairwise"), (1 - F.abs(F.first(gt) - F.first(model)) / 100).alias("calibration"))
+def concordance(items: DataFrame, anchors: DataFrame, key: str, gt: str, model: str, block_rows: int = 100_000) -> DataFrame:
+    """Of each item the share of anchors with another truth that the model orders as the truth does, and 1 - |error|/100; null without such an anchor.
+
+    Any number of anchors: they are counted by ranks (stats.dominance), never joined as pairs.
+    """
+    point = lambda df, w: df.select(F.col(gt).cast("double").alias("_g"), F.col(model).cast("double").alias("_m"), F.lit(w).alias("_w")).where(stats._known("_g") & stats._known("_m"))
+    known = point(anchors, 1)
+    n = known.count()
+    found = stats.dominance(point(items, 0).unionByName(known).withColumn("_all", F.lit(0)), ["_all"], "_g", "_m", "_w", block_rows)
+    found = found.select("_g", "_m", (F.col("less") + F.col("more")).alias("_good"))
+    same = known.groupBy("_g").agg(F.count("*").alias("_same"))
+    rows = items.select(key, gt, model, F.col(gt).cast("double").alias("_g"), F.col(model).cast("double").alias("_m")).join(found, ["_g", "_m"], "left").join(same, "_g", "left")
+    others = F.sum(F.when(F.col("_good").isNotNull(), n - F.coalesce("_same", F.lit(0))))
+    return rows.groupBy(key).agg(F.when(others > 0, F.sum("_good") / others).alias("pairwise"), (1 - F.abs(F.first(gt) - F.first(model)) / 100).alias("calibration"))
 
 
 def blended(a: Column, b: Column, weight: float, cap: float = 1.0) -> Column:

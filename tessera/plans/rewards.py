@@ -70,6 +70,15 @@ def calibration_reward(spark, sf_dir):
     return out.select("k", F.round("pairwise", 6).alias("pairwise"), F.round("calibration", 8).alias("calibration"))
 
 
+@query()
+def calibration_reward_whole(spark, sf_dir):
+    """J12 C34 with all orders as anchors; as SQL, a join with the square of the table."""
+    (o,) = tables(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 5000).alias("gt"), (F.col("o_custkey") % 100).alias("m"))
+    out = reward.concordance(rows, rows, "k", "gt", "m")
+    return out.select("k", F.round("pairwise", 6).alias("pairwise"), F.round("calibration", 8).alias("calibration"))
+
+
 @query("""
 WITH g AS (SELECT (event_id - (SELECT min(event_id) FROM events)) // 4 AS g, avg((value >= 50)::INT) AS m, stddev_pop((value >= 50)::INT) AS s FROM events GROUP BY 1)
 SELECT count(*) AS groups, round(avg(s), 6) AS mean_std, round(avg((m = 0)::INT), 6) AS all_zero, round(avg((m = 1)::INT), 6) AS all_one, round(avg((m > 0 AND m < 1)::INT), 6) AS mixed FROM g

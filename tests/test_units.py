@@ -220,3 +220,67 @@ def test_similar_texts_cluster(spark):
     df = spark.createDataFrame(rows, "id long, t string")
     got = {r.id: r.cluster_id for r in dedup.clusters(df.where("t is not null"), "id", F.col("t")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def _plain_agreement(rows):
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[1] != b[1] and a[2] != b[2] and None not in (a[2], b[2])]
+    out = {}
+    for a, b in pairs:
+        n, judged, good = out.get(a[0], (0, 0, 0))
+        known = None not in (a[3], b[3])
+        out[a[0]] = (n + 1, judged + known, good + (known and (a[2] - b[2]) * (a[3] - b[3]) > 0))
+    return {g: (n, good / judged if judged else None) for g, (n, judged, good) in out.items()}
+
+
+@pytest.mark.parametrize("block_rows", [100_000, 40])
+def test_agreement_by_ranks_makes_no_pairs(spark, block_rows):
+    rng = np.random.default_rng(5)
+    rows = [("ab"[i % 2], i // 2 if i > 20 else 3, float(rng.integers(0, 30)) if i % 17 else None, float(rng.choice([7, *range(40)])) if i % 13 else None) for i in range(400)] + [("c", 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, k int, gt double, m double")
+    out = stats.pair_agreement(df, ["g"], "gt", "m", "k", block_rows)
+    got = {r.g: (r.pairs, r.agreement) for r in out.collect()}
+    want = _plain_agreement(rows)
+    assert got.keys() == want.keys() and all(got[g] == (n, pytest.approx(a)) for g, (n, a) in want.items())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("block_rows", [100_000, 40])
+def test_concordance_against_brute_force(spark, block_rows):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.choice([5, *range(60)])) if i % 19 else None, float(rng.integers(0, 50)) if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, gt double, m double")
+    got = {r.k: r.pairwise for r in reward.concordance(df, df.where("k >= 100"), "k", "gt", "m", block_rows).collect()}
+    for k, g, m in rows:
+        good = [(g - h) * (m - n) > 0 for j, h, n in rows if j >= 100 and None not in (g, m, h, n) and g != h]
+        assert got[k] == (pytest.approx(sum(good) / len(good)) if good else None)
+
+
+def test_resamples_of_all_suppliers(spark):
+    from tessera.plans import evaluation
+
+    d = "/root/testdata/sf0.001"
+    suppliers = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert evaluation.bootstrap_spearman_delta(spark, d).count() == suppliers > 3
+
+
+def test_whole_table_agreement(spark):
+    from tessera.plans import evaluation
+
+    d = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderpriority", "o_orderkey", F.col("o_totalprice").cast("double"), F.col("o_custkey").cast("double")).collect()]
+    got = {r.g: (r.pairs, r.agreement) for r in evaluation.pair_agreement_whole(spark, d).collect()}
+    want = _plain_agreement(rows)
+    assert got.keys() == want.keys() and all(got[g] == (n, pytest.approx(a, abs=1e-6)) for g, (n, a) in want.items())
+
+
+def test_whole_table_anchors(spark):
+    from tessera.plans import rewards
+
+    d = "/root/testdata/sf0.001"
+    rows = [(r.k, r.g / 5000, r.c % 100) for r in spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("double").alias("g"), F.col("o_custkey").alias("c")).collect()]
+    got = {r.k: r.pairwise for r in rewards.calibration_reward_whole(spark, d).collect()}
+    assert got.keys() == {k for k, _, _ in rows}
+    for k, g, m in rows[:50]:
+        good = [(g - h) * (m - n) > 0 for _, h, n in rows if g != h]
+        assert got[k] == pytest.approx(sum(good) / len(good), abs=1e-6)
