@@ -14,8 +14,12 @@ check digit; addresses and numbers stay valid (the permutation is applied until
 they are).
 
 *Collision checks*: over the table of all distinct entities, a surrogate that
-equals another entity's or an entity that occurs in the corpus is drawn again
-with the next tweak, until none is left. Entities with a tweak are exceptions;
+equals another entity's or an entity that occurs in the corpus, however short,
+is drawn again with the next tweak, until none is left. As a large corpus may use
+up a short shape, every ``WIDEN`` tweaks the surrogate of a surname, e-mail address,
+secret or IPv4 address gets a letter or digit more; the other kinds have one format
+and very many values. If any still collide after ``rounds``, that is an error. First
+names are drawn from the known ones, so they may be real. Entities with a tweak are exceptions;
 they are few and are handed to the map over documents as a broadcast if they were
 counted to be at most ``broadcast_entities``, else joined by document. Documents are
 read twice and, without such a join, never shuffled.
@@ -136,10 +140,34 @@ def _ip(made: str) -> bool:
     return all(p == str(int(p)) and int(p) < 255 for p in parts) and 0 < int(parts[0]) < 224 and parts[0] not in ("10", "127") and int(parts[3]) > 0
 
 
+#: So many tweaks until a shape is taken to be used up.
+WIDEN = 8
+
+
+def widened(kind: str, norm: str, more: int) -> str:
+    """norm with room for more surrogates: letters added, or digits to the short numbers of an address."""
+    if kind == "surname":
+        return norm + "".join("na"[i % 2] for i in range(more))
+    if kind == "email":
+        local, _, domain = norm.partition("@")
+        return f"{local}{'a' * more}@{domain}"
+    if kind == "secret":
+        return norm + "a" * more
+    if kind == "ip":
+        parts = norm.split(".")
+        for _ in range(more):
+            k = min(range(4), key=lambda i: len(parts[i]))
+            parts[k] = "1" + parts[k] if len(parts[k]) < 3 else parts[k]
+        return ".".join(p if p == str(int(p)) and int(p) < 255 else "1" * len(p) for p in parts)
+    return norm
+
+
 @lru_cache(maxsize=100_000)
 def surrogate(key: bytes, kind: str, norm: str, tweak: int = 0) -> str:
     """The surrogate of an entity's normal form."""
     t = f"{kind}{tweak}"
+    if tweak >= WIDEN:
+        norm = widened(kind, norm, tweak // WIDEN)
     if kind == "email":
         local, _, domain = norm.partition("@")
         host, _, top = domain.rpartition(".")
@@ -182,7 +210,7 @@ def dressed(kind: str, made: str, found: str) -> str:
     if kind == "iban":
         it = iter(made)
         return "".join(c if c == " " else next(it) for c in found)
-    if kind == "email" and found != found.lower():
+    if kind == "email" and found != found.lower() and len(made) == len(found):
         return "".join(m.upper() if f.isupper() else m for m, f in zip(made, found, strict=True))
     return made
 
@@ -262,8 +290,8 @@ def _found(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(scan, f"{schema}kind string, norm string")
 
 
-def exceptions(known: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
-    """kind, norm and tweak (1 and more) of the entities whose first surrogate collides. known: distinct kind, norm."""
+def exceptions(known: DataFrame, key: bytes, rounds: int = 60) -> DataFrame:
+    """kind, norm and tweak (1 and more) of the entities whose first surrogate collides; an error if some still do after rounds. known: distinct kind, norm."""
 
     def drawn(df: DataFrame) -> DataFrame:
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +306,12 @@ def exceptions(known: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     for _ in range(rounds):
         winner = current.groupBy("kind", "made").agg(F.min(F.struct("tweak", "norm"))["norm"].alias("first"), F.count("*").alias("n"))
         judged = current.join(winner, ["kind", "made"]).join(real, ["kind", "made"], "left")
-        bad = cut(judged.where((F.col("norm") != F.col("first")) | (F.col("real") & (F.length("norm") > 4))).select("kind", "norm", (F.col("tweak") + 1).alias("tweak")))
+        bad = cut(judged.where((F.col("norm") != F.col("first")) | F.col("real")).select("kind", "norm", (F.col("tweak") + 1).alias("tweak")))
         if bad.isEmpty():
             break
         current = cut(current.join(bad.select("kind", "norm"), ["kind", "norm"], "left_anti").unionByName(drawn(bad)))
+    else:
+        raise RuntimeError(f"surrogates of {bad.count()} entities still collide after {rounds} draws")
     return current.where("tweak > 0").select("kind", "norm", "tweak")
 
 

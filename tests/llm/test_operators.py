@@ -307,3 +307,16 @@ def test_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (5, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in kdtree.top_k(few).collect()] == [(0, 1, 5)]
     assert [(r.query_id, r.rank, r.vec_id) for r in block_join.nearest(few).collect()] == [(0, 1, 5)]
+
+
+def test_short_surnames_never_become_real_ones(spark):
+    names = ["Lee", "Kim", "Cruz", "Diaz", *(f"{c}{v}" for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "aeiou")]  # all of the shape of Li
+    known = spark.createDataFrame([("surname", n) for n in names] + [("ip", "9.9.9.9"), ("surname", "Øß")], "kind string, norm string")
+    odd = {(r.kind, r.norm): r.tweak for r in surrogates.exceptions(known, KEY).collect()}
+    made = [surrogates.surrogate(KEY, r.kind, r.norm, odd.get((r.kind, r.norm), 0)) for r in known.collect()]
+    assert len(set(made)) == len(made) and not set(made) & {*names, "Øß", "9.9.9.9"}
+
+
+def test_surrogates_that_run_out_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="collide"):
+        surrogates.exceptions(spark.createDataFrame([("key", "----")], "kind string, norm string"), KEY, rounds=2)
