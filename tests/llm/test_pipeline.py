@@ -48,3 +48,38 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, d))
     assert docs.count() == 0
+
+
+def plain_runs(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_no_similar_pair_is_kept(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for g in range(12):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(150)]
+        rows.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 8, 20):
+            copy = list(base)
+            for at in rnd.sample(range(150), edits):
+                copy[at] = f"n{rnd.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    shuffled = list(enumerate(rows))
+    rnd.shuffle(shuffled)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in shuffled] + [(900, None, "en", "s", None), (901, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    runs = {i: plain_runs(t) for i, t in shuffled}
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    far = {(i, j) for i in runs for j in runs if i < j and similar(runs[i], runs[j]) and (simhash.fingerprint(rows[i]) ^ simhash.fingerprint(rows[j])).bit_count() > 4}
+    assert far  # the rule of four bits alone would keep both of these
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    kept = {r.doc_id for r in out.collect()}
+    assert out.columns == docs.columns and 900 in kept
+    assert not [(i, j) for i in kept & set(runs) for j in kept & set(runs) if i < j and similar(runs[i], runs[j])]
+    for stars in (0, 3):
+        alone = {r.doc_id for r in simhash.one_of_similar(docs, stars=stars, sample=2).collect()} & set(runs)
+        assert not [(i, j) for i in alone for j in alone if i < j and similar(runs[i], runs[j])]
+        assert all(any(similar(runs[i], runs[j]) for j in runs if j < i) for i in set(runs) - alone)
