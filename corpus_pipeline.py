@@ -14,7 +14,8 @@ from tessera.llm._common import stored, table
 
 #: Every source is seen whole at least once; small ones are repeated, at most twice.
 MIXTURE = mixing.Target(entropy=0.97, repeats=2.0, budget=None)
-BOILERPLATE = {"ratio": 0.1, "least_pages": 20}
+#: No host is exempt; a line must be in three of its pages, as two may be copies of each other.
+BOILERPLATE = {"ratio": 0.06, "least_pages": 1, "least_copies": 3}
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ that contain it, each counted once, over the number of the host's pages; lines
 whose ratio exceeds ``ratio`` are dropped from all pages of that host. Lines are
 compared without white space around them; blank lines have no ratio and stay.
 Hosts with fewer than ``least_pages`` pages are left alone, as one page of two
-says nothing. A page that would lose every line keeps them all: it is a copy of
+says nothing; lines in fewer than ``least_copies`` of a host's pages stay, which does
+without such a floor on hosts. A page that would lose every line keeps them all: it is a copy of
 other pages rather than furniture around a text, which near-duplicate removal
 decides on.
 
@@ -40,22 +41,22 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(line, F.lit(1)).alias("g"))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.1, least_pages: int = 20) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.1, least_pages: int = 20, least_copies: int = 1) -> DataFrame:
     """boiler_host and boiler, the hashes of the host's lines whose ratio is too high."""
     lines = F.array_distinct(F.transform(F.split(text, "\n"), _trimmed))
     rows = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("boiler_host"), lines.alias("lines"))
     each = rows.select("boiler_host", F.explode("lines").alias("line")).where(F.col("line") != "").select("boiler_host", _hash(F.col("line")).alias("line"))
     held = each.groupBy("boiler_host", "line").agg(F.count("*").alias("n"))
     total = pages.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("boiler_host")).agg(F.count("*").alias("of_host")).where(F.col("of_host") >= least_pages)
-    often = held.where(F.col("n") > max(1.0, ratio * least_pages)).join(total, "boiler_host").where(F.col("n") > F.col("of_host") * ratio)
+    often = held.where((F.col("n") > max(1.0, ratio * least_pages)) & (F.col("n") >= least_copies)).join(total, "boiler_host").where(F.col("n") > F.col("of_host") * ratio)
     return often.groupBy("boiler_host").agg(F.collect_list(F.col("line.h")).alias("boiler"), F.collect_list(F.col("line.g")).alias("boiler_g"))
 
 
-def marked(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.1, least_pages: int = 20, broadcast_lines: int = 20_000) -> DataFrame:
+def marked(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.1, least_pages: int = 20, broadcast_lines: int = 20_000, least_copies: int = 1) -> DataFrame:
     """pages with line_count, dropped_lines and kept_text."""
     if clash := [c for c in pages.columns if c in ADDED]:
         raise ValueError(f"pages must not have columns named {clash}")
-    found = cut(boilerplate(pages, host, text, ratio, least_pages))
+    found = cut(boilerplate(pages, host, text, ratio, least_pages, least_copies))
     hashes = found.agg(F.sum(F.size("boiler"))).first()[0] or 0
     if hashes <= broadcast_lines:
         found = F.broadcast(found)

@@ -83,3 +83,12 @@ def test_no_similar_pair_is_kept(spark):
         alone = {r.doc_id for r in simhash.one_of_similar(docs, stars=stars, sample=2).collect()} & set(runs)
         assert not [(i, j) for i in alone for j in alone if i < j and similar(runs[i], runs[j])]
         assert all(any(similar(runs[i], runs[j]) for j in runs if j < i) for i in set(runs) - alone)
+
+
+def test_boilerplate_of_small_and_large_hosts(spark):
+    line = "a line of every site"
+    rows = [(i, f"own {i}\n" + (line if i < 3 else f"more {i}"), "small") for i in range(10)] + [(100 + i, f"own {i}\n" + (line if i < 8 else f"more {i}"), "large") for i in range(100)]
+    rows += [(300, "x\ntwice", "pair"), (301, "y\ntwice", "pair"), (302, "z", "pair")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert got == {i: t if s == "pair" else t.replace(f"\n{line}", "") for i, t, s in rows}
