@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def window_means(df: DataFrame, step: str, windows: DataFrame, columns: list[str]) -> DataFrame:
-    """Name, n and the mean of each column over steps from lo to hi; a column that the log lacks gives null. windows: name, lo, hi, a chosen few."""
+def window_means(df: DataFrame, step: str, windows: DataFrame, columns: list[str], broadcast_windows: int = 10_000) -> DataFrame:
+    """Name, n and the mean of each column over steps from lo to hi; a column that the log lacks gives null. windows: name, lo, hi.
+
+    Windows are broadcast if they were counted to be at most broadcast_windows; else
+    they meet steps by ranges of steps as long as a window on average.
+    """
     have = [F.col(c).cast("double").alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns]
     rows = df.select(F.col(step).alias("_step"), *have)
-    joined = F.broadcast(windows.limit(10_000)).join(rows, (F.col("_step") >= F.col("lo")) & (F.col("_step") <= F.col("hi")), "left")
+    inside = (F.col("_step") >= F.col("lo")) & (F.col("_step") <= F.col("hi"))
+    n, span = windows.agg(F.count("*"), F.avg(F.col("hi") - F.col("lo"))).first()
+    if n <= broadcast_windows:
+        joined = F.broadcast(windows).join(rows, inside, "left")
+    else:
+        at = lambda c: F.floor(F.col(c) / max(1.0, float(span or 0)))
+        dealt = windows.where("lo <= hi").withColumn("_b", F.explode(F.sequence(at("lo"), at("hi"))))
+        met = dealt.join(rows.withColumn("_b", at("_step")), "_b").where(inside).select("name", "_step", *columns)
+        joined = met.unionByName(windows.select("name"), allowMissingColumns=True)
     return joined.groupBy("name").agg(F.count("_step").alias("n"), *(F.avg(c).alias(c) for c in columns))
 
 

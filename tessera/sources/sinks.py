@@ -65,12 +65,13 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*(F.to_json(c).alias(c) if nested(c) else F.col(c) for c in columns)).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
-def batched(df: DataFrame, order: list[Column], size: int, repeated: DataFrame | None = None) -> DataFrame:
-    """Batch, position and columns; the rows of repeated are added to every batch."""
+def batched(df: DataFrame, order: list[Column], size: int, repeated: DataFrame | None = None, broadcast_rows: int = 10_000) -> DataFrame:
+    """Batch, position and columns; the rows of repeated are added to every batch. They are broadcast if they were counted to be at most broadcast_rows."""
     out = positions(df, order, "position").withColumn("batch", F.floor(F.col("position") / size))
     if repeated is None:
         return out
-    extra = out.select("batch").distinct().crossJoin(F.broadcast(repeated.limit(10_000))).withColumn("position", F.lit(None).cast("long"))
+    few = repeated.count() <= broadcast_rows
+    extra = out.select("batch").distinct().crossJoin(F.broadcast(repeated) if few else repeated).withColumn("position", F.lit(None).cast("long"))
     return out.unionByName(extra.select(*out.columns))
 
 

@@ -284,3 +284,18 @@ def test_whole_table_anchors(spark):
     for k, g, m in rows[:50]:
         good = [(g - h) * (m - n) > 0 for _, h, n in rows if g != h]
         assert got[k] == pytest.approx(sum(good) / len(good), abs=1e-6)
+
+
+def test_no_window_sentinel_or_anchor_is_left_out(spark):
+    n = 10_020
+    log = spark.range(200).select(F.col("id").alias("s"), F.col("id").cast("double").alias("v"))
+    windows = spark.range(n).select(F.col("id").cast("string").alias("name"), (F.col("id") % 250 - 20).alias("lo"), (F.col("id") % 250 - 20 + F.col("id") % 7 - 1).alias("hi"))
+    got = {r.name: (r.n, r.v, r.x) for r in metrics.window_means(log, "s", windows, ["v", "x"]).collect()}
+    assert len(got) == n
+    for i in range(n):
+        v = [s for s in range(i % 250 - 20, i % 250 - 20 + i % 7) if 0 <= s < 200]
+        assert got[str(i)] == (len(v), pytest.approx(sum(v) / len(v)) if v else None, None)
+    assert sinks.batched(spark.range(10), [F.col("id")], 4, spark.range(100, 100 + n)).where("position is null").count() == 3 * n
+    items = spark.createDataFrame([(1, 0.5, 0.5)], "k long, gt double, m double")
+    anchors = spark.range(n).select(F.col("id").alias("k"), (F.col("id") + 1.0).alias("gt"), F.when(F.col("id") < 10_000, 1.0).otherwise(0.0).alias("m"))
+    assert reward.concordance(items, anchors, "k", "gt", "m").first().pairwise == pytest.approx(10_000 / n)
