@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import line_dedup, mixing, packing, simhash, toxicity
+from tessera.llm import line_dedup, mixing, packing, similar, toxicity
 from tessera.llm._common import stored, table
 
 #: Every source is seen whole at least once; small ones are repeated, at most twice.
@@ -27,8 +27,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """First by fingerprints within four bits, then by runs of five words with a similarity of 0.8 or more."""
-    return simhash.one_of_similar(stored(simhash.one_of_each(docs)))
+    """Linked are fingerprints within four bits and texts whose runs of five words have a similarity of 0.8 or more."""
+    return similar.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

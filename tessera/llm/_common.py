@@ -47,9 +47,9 @@ def size_hint(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def pieces_for(df: DataFrame, bytes_each: int, most: int = 1 << 20) -> int:
+def pieces_for(df: DataFrame, bytes_each: int) -> int:
     """How many parts of about bytes_each df makes, by size_hint; by a count where that knows nothing."""
     size = size_hint(df)
     if size >= UNKNOWN_SIZE:
         size = df.count() * 2_000
-    return max(1, min(most, -(-size // bytes_each)))
+    return max(1, -(-size // bytes_each))

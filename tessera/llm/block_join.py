@@ -1,12 +1,13 @@
 """Nearest neighbours by a block matrix join with int8 tiles (operator 8).
 
-Vectors are dealt to shards by hash and meet the queries block by block. Both
-sides of a tile are quantised to int8, each row by its own scale, and multiplied
-as a matrix (in float32, where sums of products of int8 values are exact). With
+Vectors are dealt to shards by hash; a shard is quantised once and the queries
+stream past it block by block. Both sides of a tile are quantised to int8, each row
+by its own scale, and multiplied as a matrix, in float32 while sums of products of
+int8 values are exact there (up to 1,040 dimensions), else in float64. With
 q = q' + e and v = v' + f, the error of q'·v' is at most |q'||f| + |e||v|; so
 each pair's squared distance lies in a known interval. A pair survives unless
-the interval begins beyond the query's kth smallest interval end or its heap's
-kth distance; survivors are recomputed from the original vectors in double
+the interval begins beyond the query's kth smallest interval end, its heap's
+kth distance or the kth distance of earlier rounds of shards; survivors are recomputed from the original vectors in double
 precision and merged by a heap for each query. The bounds hold, so nothing
 near is lost: recall is 1.
 
@@ -25,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.vectors import best, matrix, met, queries_of, sharded, usable
+from tessera.llm.vectors import by_rounds, matrix, queries_of, sharded, usable
+
+
+#: So many products of int8 values sum to less than 2^24.
+EXACT_IN_FLOAT32 = (1 << 24) // 127**2
 
 
 class Quantised:
@@ -43,7 +48,8 @@ class Quantised:
 
     def intervals(self, other: Quantised, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
         """Between which values the squared distances of rows a to other's rows b lie."""
-        tile = self.q[a].astype(np.float32) @ other.q[b].astype(np.float32).T
+        kind = np.float32 if self.q.shape[1] <= EXACT_IN_FLOAT32 else np.float64
+        tile = self.q[a].astype(kind) @ other.q[b].astype(kind).T
         dot = tile * self.scale[a, None] * other.scale[None, b]
         error = self.rounded[a, None] * other.error[None, b] + self.error[a, None] * other.norm[None, b]
         total = self.square[a, None] + other.square[None, b]
@@ -59,17 +65,19 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _build(ids: np.ndarray, vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, Quantised]:
+    x = matrix(vectors)
+    return ids, x, Quantised(x)
+
+
 def _search(k: int, tile: tuple[int, int]):
-    names = ["query_id", "vec_id", "score"]
-
-    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        kind = queries.column("query_id").type
-        if not queries.num_rows or not rows.num_rows:
-            return pa.table([pa.array([], kind)] * 2 + [pa.array([], pa.float64())], names=names)
-        q, x = matrix(queries.column("q")), matrix(rows.column("v"))
-        own, ids = queries.column("query_id").to_numpy(), rows.column("vec_id").to_numpy()
+    def search(index: tuple[np.ndarray, np.ndarray, Quantised], queries: pa.Table) -> pa.Table:
+        ids, x, right = index
+        kind = queries.column("id").type
+        q, own = matrix(queries.column("v")), queries.column("id").to_numpy()
+        known = queries.column("kth").to_numpy(zero_copy_only=False)  # nan: none
         huge = max(np.abs(q).max(), np.abs(x).max()) > 1e100 or min(np.abs(q).max(1).min(), np.abs(x).max(1).min()) < 1e-100
-        left, right = Quantised(q), Quantised(x)
+        left = Quantised(q)
         heaps: list[list[tuple[float, int]]] = [[] for _ in own]
         for a in range(0, len(q), tile[0]):
             for b in range(0, len(x), tile[1]):
@@ -80,8 +88,9 @@ def _search(k: int, tile: tuple[int, int]):
                     heap = heaps[a + i]
                     ends = high[i][other]
                     reach = np.inf if len(ends) < k or huge else np.partition(ends, k - 1)[k - 1]
-                    if len(heap) == k and not huge:
-                        reach = min(reach, heap[0][0] ** 2 * (1 + 1e-9))
+                    if not huge:
+                        kth = min(heap[0][0] ** 2 if len(heap) == k else np.inf, known[a + i] ** 2 if known[a + i] == known[a + i] else np.inf)
+                        reach = min(reach, kth * (1 + 1e-9))
                     alive = np.flatnonzero(other & ~(low[i] > reach))
                     for d, v in zip(distances(q[a + i], x[b + alive]).tolist(), part[alive].tolist(), strict=True):
                         entry = (-d, -v)
@@ -91,7 +100,7 @@ def _search(k: int, tile: tuple[int, int]):
                             heapq.heapreplace(heap, entry)
         flat = [(int(own[i]), -v, -d) for i, heap in enumerate(heaps) for d, v in heap]
         cols = list(zip(*flat, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(cols[0], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.float64())], names=names)
+        return pa.table([pa.array(cols[0], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     return search
 
@@ -101,5 +110,5 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, shard_bytes: int
     rows = usable(vectors).where(F.exists("v", lambda x: x != 0))
     queries = queries_of(rows, every)
     rows, shards = sharded(rows, vectors, shard_bytes)
-    found = met(queries, rows, shards, 0, _search(k, tile), extra="score double")
-    return best(found, k, F.asc("score")).select("query_id", "rank", "vec_id", "score")
+    found = by_rounds(queries, rows, shards, k, _build, _search(k, tile), "score double", [F.asc("score")], F.col("score"), "double")
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -5,12 +5,15 @@ In a shard a tree is built by median splits on the widest side of the tight box
 around a node's vectors. A query walks the tree best first: the box bounds the
 score of all that is inside by the sum over dimensions of the larger of q*low
 and q*high, and a node whose bound is less than the kth score so far cannot
-hold a result; an equal bound may, as ties go to the smaller vec_id. The first
-shard is searched before the others, and the kth score found there is handed
-to them, so they prune from the start.
+hold a result; an equal bound may, as ties go to the smaller vec_id. Each tree is
+built once and all queries stream past it. One shard is searched first, then seven,
+then 56 and so on, and each round hands the kth score so far to the next, so trees
+are pruned from the start.
 
 Scores are integers and exact: products are summed in doubles only while they
-stay below 2^53, else in Python's integers. Vectors null or with null or
+stay below 2^53, else in Python's integers. Components beyond 64 bits count as the
+nearest 64-bit number. Scores beyond 64 bits are ranked by their exact values and
+shown as the nearest 64-bit number. Vectors null or with null or
 non-finite components take no part; vectors of other lengths never meet. A
 repeated vec_id is searched for once, and rows with the query's own vec_id are
 no candidates. Empty tables give empty results.
@@ -18,15 +21,15 @@ no candidates. Empty tables give empty results.
 
 from __future__ import annotations
 
+import copy
 import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut
-from tessera.llm.vectors import best, matrix, met, queries_of, sharded, usable
+from tessera.llm.vectors import by_rounds, matrix, queries_of, sharded, usable
 
 
 class Tree:
@@ -34,6 +37,8 @@ class Tree:
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = 256):
         self.x, self.ids = x, ids
+        self.exact: Tree | None = None
+        self.visited = 0
         self.span: list[tuple[int, int]] = []
         self.child: list[tuple[int, int] | None] = []
         low, high = [], []
@@ -60,6 +65,15 @@ class Tree:
         self.order, self.low, self.high = order, np.array(low), np.array(high)
         self.sorted_x, self.sorted_ids = x[order], ids[order]
 
+    def of_integers(self) -> Tree:
+        """The same tree with Python's integers in place of doubles."""
+        if self.x.dtype == object:
+            return self
+        if self.exact is None:
+            self.exact = copy.copy(self)
+            self.exact.x, self.exact.sorted_x, self.exact.low, self.exact.high = (m.astype(np.int64).astype(object) for m in (self.x, self.sorted_x, self.low, self.high))
+        return self.exact
+
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Of each query and node, the score that nothing in the node's box exceeds."""
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
@@ -78,6 +92,7 @@ class Tree:
                         heapq.heappush(heap, (-bounds[c], c))
                 continue
             a, b = self.span[node]
+            self.visited += b - a
             s = self.sorted_x[a:b] @ q
             take = s >= kth
             if not take.any():
@@ -92,28 +107,46 @@ class Tree:
         return ids, scores
 
 
-def _search(k: int, with_bound: bool):
-    names = ["query_id", "vec_id", "score"]
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _wide(score: int) -> bytes | None:
+    """A score beyond 64 bits as bytes that sort like it; null for others."""
+    return None if LEAST <= score <= MOST else (score + (1 << 200)).to_bytes(26, "big")
+
+
+def _build(ids: np.ndarray, vectors: pa.ChunkedArray) -> tuple[Tree, float]:
+    x = matrix(vectors, np.int64)
+    largest = float(np.abs(x.astype(np.float64)).max())
+    return Tree(x.astype(np.float64 if largest < 1 << 52 else object), ids), largest
+
 
-    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        none = pa.table([pa.array([], queries.column("query_id").type)] * 2 + [pa.array([], pa.int64())], names=names)
-        if not queries.num_rows or not rows.num_rows:
-            return none
-        q, x = matrix(queries.column("q"), np.int64), matrix(rows.column("v"), np.int64)
-        largest = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * q.shape[1]
-        kind = np.float64 if largest < 1 << 52 else object
-        q, x = q.astype(kind), x.astype(kind)
-        tree = Tree(x, rows.column("vec_id").to_numpy())
+def _search(k: int):
+    def search(index: tuple[Tree, float], queries: pa.Table) -> pa.Table:
+        tree, largest = index
+        kind = queries.column("id").type
+        q = matrix(queries.column("v"), np.int64)
+        exact = float(np.abs(q.astype(np.float64)).max()) * largest * q.shape[1] < 1 << 52
+        if not exact:
+            tree, q = tree.of_integers(), q.astype(object)
+        else:
+            q = q.astype(np.float64)
         bounds = tree.bounds(q)
-        known = queries.column("kth").to_pylist() if with_bound else [None] * len(q)
-        out: tuple[list, list, list] = ([], [], [])
-        for i, own in enumerate(queries.column("query_id").to_pylist()):
-            ids, scores = tree.search(q[i], bounds[i], own, k, -np.inf if known[i] is None else known[i])
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for i, (own, kth) in enumerate(zip(queries.column("id").to_pylist(), queries.column("kth").to_pylist(), strict=True)):
+            # a kth at the lower end of 64 bits may stand for less
+            ids, scores = tree.search(q[i], bounds[i], own, k, -np.inf if kth is None or kth == LEAST else kth)
             out[0].append(np.full(len(ids), own))
             out[1].append(ids)
-            out[2].append(scores.astype(np.int64))
-        columns = [pa.array(np.concatenate(c)) for c in out]
-        return pa.table([columns[0].cast(queries.column("query_id").type), columns[1].cast(queries.column("query_id").type), columns[2].cast(pa.int64())], names=names)
+            if exact:
+                out[2].append(scores.astype(np.int64))
+                out[3].extend([None] * len(ids))
+            else:
+                whole = [int(s) for s in scores]
+                out[2].append(np.array([min(MOST, max(LEAST, s)) for s in whole], np.int64))
+                out[3].extend(map(_wide, whole))
+        columns = [pa.array(np.concatenate(c)) for c in out[:3]]
+        return pa.table([columns[0].cast(kind), columns[1].cast(kind), columns[2].cast(pa.int64()), pa.array(out[3], pa.binary())], names=["query_id", "vec_id", "score", "wide"])
 
     return search
 
@@ -123,10 +156,5 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     rows = usable(vectors, lambda x: F.floor(x * scale))
     queries = queries_of(rows, every)
     rows, shards = sharded(rows, vectors, shard_bytes)
-    first = cut(met(queries, rows.where("shard = 0"), 1, 0, _search(k, False), extra="score long"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    bound = first.withColumn("n", F.row_number().over(w)).where(F.col("n") == k).select("query_id", F.col("score").alias("kth"))
-    if shards > 1:
-        handed = queries.join(bound, "query_id", "left")
-        first = first.unionByName(met(handed, rows, shards, 1, _search(k, True), extra="score long"))
-    return best(first, k, F.desc("score")).select("query_id", "rank", "vec_id", "score")
+    found = by_rounds(queries, rows, shards, k, _build, _search(k), "score long, wide binary", [F.desc("score"), F.desc_nulls_last("wide")], F.col("score"), "long")
+    return found.select("query_id", "rank", "vec_id", "score")

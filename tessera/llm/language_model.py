@@ -6,7 +6,7 @@ shortened; a word that occurs nowhere else counts as seen once. With
 ``leave_one_out`` a document's own n-grams are taken from the counts, so every
 document is scored by the rest of the corpus.
 
-The relations are these, with an n-gram as the 56-bit hash of its words:
+The relations are these, with an n-gram as the 64-bit hash of its words:
 
 * n-grams exploded from documents, summed in a block of documents, and dealt by
   hash range (rows: range, block, sorted hashes, counts);
@@ -15,10 +15,12 @@ The relations are these, with an n-gram as the 56-bit hash of its words:
 * the sum of log S over each document's words.
 
 Sets of rows travel packed (differences of sorted hashes, deflated), about a
-third of what plain rows take. Blocks are documents by hash, so a source with a
-third of all rows is spread; a frequent n-gram is one entry for each block. The
-group of a hash range and a block are both bounded; a block grows only
-with its longest document.
+third of what plain rows take, and texts as zstd. A packed row holds what one block
+has in one hash range and is sent only if that is anything, so there are never
+more rows than n-grams. Documents are dealt to blocks at random, so neither a source
+with a third of all rows nor a row that is often repeated makes a large block; a
+frequent n-gram is one entry for each block. The group of a hash range and a block
+are both bounded; a block grows only with its longest document.
 
 Null and empty texts have no words and a null mean score. Repeated rows are
 documents each (with leave_one_out each is scored by the others). An empty table
@@ -28,20 +30,18 @@ gives an empty result. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import pieces_for
 
 
-#: Of a hash so many bits are kept: among 10^13 different n-grams one in 7,000 shares its hash with another.
-BITS = 56
-
-
 def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     x = context * np.uint64(0x9E3779B97F4A7C15) + word
     x ^= x >> np.uint64(32)
@@ -91,13 +91,13 @@ class Block:
             before = np.concatenate((np.zeros(1, np.uint64), self.grams[-1][:-1])) if len(h) else h
             self.grams.append(_mixed(before, h))
             self.valid.append(place >= k)
-        self.grams = [g >> np.uint64(64 - BITS) for g in self.grams]
         every = np.concatenate([g[v] for g, v in zip(self.grams, self.valid, strict=True)])
+        self.grams = []
         if not to_score:
             self.distinct, self.counts = np.unique(every, return_counts=True)
             return
         self.distinct, back, self.counts = np.unique(every, return_inverse=True, return_counts=True)
-        self.grams, begin = [], 0  # from here on, places among distinct
+        begin = 0  # from here on, grams are places among distinct
         for v in self.valid:
             at = np.zeros(len(v), np.int64)
             at[v] = back[begin : (begin := begin + int(v.sum()))]
@@ -122,18 +122,31 @@ class Block:
         return np.bincount(self.doc, np.log10(s), len(self.lengths))
 
 
-def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, leave_one_out: bool = True, block_bytes: int = 4 << 20) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, leave_one_out: bool = True, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, words, log10_score (summed over words), mean_log10."""
     blocks = pieces_for(docs, block_bytes)
-    ranges = 2 * blocks
+    ranges = blocks
     kind = dict(docs.dtypes)["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
     total = docs.agg(F.coalesce(F.sum(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 100)), F.lit(blocks)).alias("block"), "doc_id", "text")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(3)
+        for b in batches:
+            texts = [small.compress(t.as_buffer()) if t.is_valid else None for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["block", "doc_id", "text"])
+
+    def texts_of(table: pa.Table) -> list[str | None]:
+        large = zstandard.ZstdDecompressor()
+        return [None if t is None else large.decompress(t).decode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+
+    # dealt by place in the input, so that rows that are alike are spread as well
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    rows = docs.select(number.alias("block"), "doc_id", "text").mapInArrow(packed, f"block long, doc_id {kind}, text binary")
 
     def counted(key: tuple, table: pa.Table) -> pa.Table:
-        b = Block(table.column("text").to_pylist(), order)
-        edges = np.searchsorted(b.distinct, np.array([(r << BITS) // ranges for r in range(1, ranges)], np.uint64)) if ranges > 1 else np.zeros(0, int)
+        b = Block(texts_of(table), order)
+        edges = np.searchsorted(b.distinct, np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)) if ranges > 1 else np.zeros(0, int)
         spans = [(r, x, y) for r, (x, y) in enumerate(zip([0, *edges], [*edges, len(b.distinct)], strict=True)) if y > x]
         block = key[0].as_py()
         return pa.table([pa.array([s[0] for s in spans], pa.int64()), pa.array([block] * len(spans), pa.int64()), pa.array([_pack(b.distinct[x:y]) for _, x, y in spans], pa.binary()), pa.array([_small(b.counts[x:y]) for _, x, y in spans], pa.binary())], names=["range", "from_block", "grams", "counts"])
@@ -148,7 +161,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, leave_
         return pa.table([table.column("range"), table.column("from_block"), pa.array(parts, pa.binary())], names=["range", "to_block", "sums"])
 
     def scored(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(table.column("text").to_pylist(), order, to_score=True)
+        b = Block(texts_of(table), order, to_score=True)
         ordered = answers.sort_by("range").column("sums").to_pylist()
         if len(b.distinct):
             sums = b.scores(np.concatenate([_large(x) for x in ordered]), total, backoff, leave_one_out)

@@ -19,8 +19,8 @@ are hot.
 
 A page with null host is nobody's: it keeps its lines and counts nowhere. Null
 text stays null, with no lines. Repeated rows count as pages. An empty table
-gives an empty result; other columns pass through, and none of theirs may be
-called as those that are added.
+gives an empty result; other columns pass through in one struct, so their names may
+be any.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import cut
 
-ADDED = ("line_count", "dropped_lines", "kept_text", "boiler", "boiler_host")
+ADDED = ("line_count", "dropped_lines", "kept_text")
 
 
 def _trimmed(line: Column) -> Column:
@@ -41,7 +41,7 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(line, F.lit(1)).alias("g"))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.1, least_pages: int = 20, least_copies: int = 1) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.06, least_pages: int = 1, least_copies: int = 3) -> DataFrame:
     """boiler_host and boiler, the hashes of the host's lines whose ratio is too high."""
     lines = F.array_distinct(F.transform(F.split(text, "\n"), _trimmed))
     rows = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("boiler_host"), lines.alias("lines"))
@@ -52,32 +52,43 @@ def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float =
     return often.groupBy("boiler_host").agg(F.collect_list(F.col("line.h")).alias("boiler"), F.collect_list(F.col("line.g")).alias("boiler_g"))
 
 
-def marked(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.1, least_pages: int = 20, broadcast_lines: int = 20_000, least_copies: int = 1) -> DataFrame:
-    """pages with line_count, dropped_lines and kept_text."""
-    if clash := [c for c in pages.columns if c in ADDED]:
-        raise ValueError(f"pages must not have columns named {clash}")
-    found = cut(boilerplate(pages, host, text, ratio, least_pages, least_copies))
+def _split(pages: DataFrame, host: str, text: str, broadcast_lines: int, **how: float) -> DataFrame:
+    """row (all of a page's columns), line_count, dropped_lines and kept_text."""
+    found = cut(boilerplate(pages, host, text, **how))
     hashes = found.agg(F.sum(F.size("boiler"))).first()[0] or 0
     if hashes <= broadcast_lines:
         found = F.broadcast(found)
-    lines = F.split(text, "\n")
+    lines = F.split("t", "\n")
     is_boiler = lambda x: (_trimmed(x) != "") & F.arrays_overlap(F.array(F.xxhash64(_trimmed(x))), F.col("boiler")) & F.array_contains("boiler_g", F.xxhash64(_trimmed(x), F.lit(1)))
-    kept = F.filter(lines, lambda x: ~is_boiler(x))
-    joined = pages.join(found, F.col(host) == F.col("boiler_host"), "left").drop("boiler_host")
-    joined = joined.withColumn("kept_lines", F.when(F.col("boiler").isNotNull(), kept))
+    rows = pages.select(F.struct("*").alias("row"), F.col(host).alias("h"), F.col(text).alias("t"))
+    joined = rows.join(found, F.col("h") == F.col("boiler_host"), "left")
+    joined = joined.withColumn("kept_lines", F.when(F.col("boiler").isNotNull(), F.filter(lines, lambda x: ~is_boiler(x))))
     whole = F.col("boiler").isNull() | (F.coalesce(F.aggregate("kept_lines", F.lit(0), lambda n, x: n + (_trimmed(x) != "").cast("int")), F.lit(0)) == 0)
-    counted = joined.withColumn("line_count", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    dropped = F.when(whole | F.col(text).isNull(), 0).otherwise(F.col("line_count") - F.size("kept_lines")).cast("long")
-    new_text = F.when(whole | F.col(text).isNull(), F.col(text)).otherwise(F.array_join("kept_lines", "\n"))
-    return counted.withColumn("dropped_lines", dropped).withColumn("kept_text", new_text).drop("boiler", "boiler_g", "kept_lines")
+    counted = joined.withColumn("line_count", F.when(F.col("t").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    dropped = F.when(whole | F.col("t").isNull(), 0).otherwise(F.col("line_count") - F.size("kept_lines")).cast("long")
+    new_text = F.when(whole | F.col("t").isNull(), F.col("t")).otherwise(F.array_join("kept_lines", "\n"))
+    return counted.select("row", "line_count", dropped.alias("dropped_lines"), new_text.alias("kept_text"))
 
 
-def without_boilerplate(docs: DataFrame, host: str, length: str | None = None, **how: float) -> DataFrame:
+def marked(pages: DataFrame, host: str, text: str = "text", broadcast_lines: int = 20_000, **how: float) -> DataFrame:
+    """pages with line_count, dropped_lines and kept_text, which replace columns of these names."""
+    mine = [c for c in pages.columns if c not in ADDED]
+    return _split(pages, host, text, broadcast_lines, **how).select(*(F.col("row").getField(c).alias(c) for c in mine), *ADDED)
+
+
+def without_boilerplate(docs: DataFrame, host: str, text: str = "text", length: str | None = None, broadcast_lines: int = 20_000, **how: float) -> DataFrame:
     """docs with their lines dropped, columns as before; length names a column of characters to set anew."""
-    out = marked(docs, host, **how).withColumn("text", F.col("kept_text"))
-    if length:
-        out = out.withColumn(length, F.when(F.col("dropped_lines") > 0, F.length("text").cast(dict(docs.dtypes)[length])).otherwise(F.col(length)))
-    return out.select(*docs.columns)
+    out = _split(docs, host, text, broadcast_lines, **how)
+
+    def column(name: str) -> Column:
+        was = F.col("row").getField(name)
+        if name == text:
+            return F.col("kept_text").alias(name)
+        if name == length:
+            return F.when(F.col("dropped_lines") > 0, F.length("kept_text").cast(dict(docs.dtypes)[name])).otherwise(was).alias(name)
+        return was.alias(name)
+
+    return out.select(*map(column, docs.columns))
 
 
 SQL = """
@@ -89,7 +100,7 @@ WITH lines AS (
 ), boiler AS (
   SELECT l.source, l.line FROM lines l JOIN hosts h ON l.source = h.source
   WHERE l.line <> '' AND h.n >= {least_pages}
-  GROUP BY l.source, l.line, h.n HAVING count(DISTINCT page) > h.n * {ratio} AND count(DISTINCT page) > greatest(1.0, {ratio} * {least_pages})
+  GROUP BY l.source, l.line, h.n HAVING count(DISTINCT page) > h.n * {ratio} AND count(DISTINCT page) > greatest(1.0, {ratio} * {least_pages}) AND count(DISTINCT page) >= {least_copies}
 ), flagged AS (
   SELECT l.page, l.i, l.raw, l.line, b.line IS NOT NULL AS bad FROM lines l LEFT JOIN boiler b ON l.source = b.source AND l.line = b.line
 ), pages AS (

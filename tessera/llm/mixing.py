@@ -24,7 +24,8 @@ is broadcast only when it was counted to hold at most ``broadcast_rows`` rows.
 Null sources are a source of their own; null text has no tokens. A source
 without tokens is seen once and has no weight. Repeated rows count each and stay
 together. Ties of hashes are taken or left together. An empty table gives an
-empty result. Other columns are not read.
+empty result. Other columns are not read; in ``mixed`` a row travels as one struct, so
+their names may be any.
 """
 
 from __future__ import annotations
@@ -179,12 +180,10 @@ def mix(docs: DataFrame, target: Target = Target(), source: str = "source") -> D
 
 
 def mixed(docs: DataFrame, target: Target, source: str = "source") -> DataFrame:
-    """Rows of docs, columns as before, each as often as the mixture takes it."""
-    if clash := [c for c in docs.columns if c in ("key", "doc_hash", "blocks", "block", "epoch", "block_start", "upto", "salt")]:
-        raise ValueError(f"docs must not have columns named {clash}")
+    """Rows of docs, columns as before whatever their names, each as often as the mixture takes it."""
     _, sources, steps = _planned(docs, target, source)
-    rows = docs.select("*", source_key(F.col(source)).alias("key"), _digest(target.seed, F.col("doc_id")).alias("doc_hash"))
-    return _realised(rows, sources, steps, target).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), source_key(F.col(source)).alias("key"), _digest(target.seed, F.col("doc_id")).alias("doc_hash"))
+    return _realised(rows, sources, steps, target).select("row.*")
 
 
 SQL = r"""

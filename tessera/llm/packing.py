@@ -3,15 +3,18 @@
 Three steps:
 
 1. *Tokenise* (map only). Each document gets its ids and the separator id, as
-   packed unsigned integers, and a lane by a hash of its row. The result is
-   kept as Parquet in the shared folder, so each text is tokenised once.
+   packed unsigned integers, and a lane by a hash of its place in the input, so rows
+   that are alike are spread. The result is kept as Parquet in the shared folder,
+   so each text is tokenised once.
 2. *Deficits across partitions.* Tokens are summed by lane and source; the sums
    of the lanes before give each lane, for each source, by how much that source
    has so far fallen short of its target share. A lane starts with this.
 3. *Pack* (one group for each lane). Deficit round-robin over the lane's source
    queues: each window gives every source its share of the window's tokens on
    top of what it carries; a source gives whole documents while its deficit is
-   positive, and what it gives too much it carries as debt to the next window.
+   positive, and what it gives too much it carries as debt to the next window. A
+   window is a sequence long, so at each sequence's end a source is off its target
+   by about one of its documents at most while no queue has run dry.
    The row of documents is then cut at every ``sequence`` tokens. The rest of
    a lane is cut into sequences whose lengths are powers of two, so nothing is
    padded at all.
@@ -21,7 +24,8 @@ longer lane), whatever the size of its sources, so a source with a third of
 all rows is spread over all lanes.
 
 Null text counts as empty: only the separator. Null sources are a source of
-their own. Repeated rows are packed each. An empty table gives an empty result.
+their own. Repeated rows are packed each. An empty table gives an empty result. Other
+columns are not read, whatever their names; doc_ids may be of any type that sorts.
 Target shares need not be given for every source; without any, sources keep
 their shares of all tokens. When a queue runs dry the others go on, so every
 id is packed whatever the targets.
@@ -142,7 +146,7 @@ def tokenised(docs: DataFrame, lanes: int, path: str, ranks_path: str | None, pa
                 n = [len(x) // len(end) for x in ids]
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["lane", "doc_id", "source", "n", "ids"])
 
-    lane = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 200)), F.lit(lanes))
+    lane = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes))  # the result is stored, so a row has one lane
     rows = docs.select(lane.alias("lane"), "doc_id", F.col("source").cast("string").alias("source"), "text")
     return rows.mapInArrow(encode, f"lane long, doc_id {dict(docs.dtypes)['doc_id']}, source string, n long, ids binary")
 
@@ -198,7 +202,7 @@ def sequence_lengths(total: int, sequence: int) -> list[int]:
     return [sequence] * (total // sequence) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, shares: dict[str, float] | None = None, sequence: int = 1024, window: int = 1 << 16, separator: int = 0, lane_bytes: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, shares: dict[str, float] | None = None, sequence: int = 1024, window: int = 1024, separator: int = 0, lane_bytes: int = 4 << 20) -> DataFrame:
     """One row for each piece of a document in a sequence.
 
     doc_id, start (the document's ids before it), length, ids_crc32 (of its ids
@@ -220,7 +224,7 @@ def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str
             return pa.table([pa.array([], t) for t in types], names=names)
         wide = np.dtype("<u4" if len(ids[0]) // n[0] == 4 else "<u2")
         queues: dict = {}
-        for i in sorted(range(len(n)), key=lambda i: (doc_ids[i] is None, doc_ids[i] or 0, n[i], zlib.crc32(ids[i]))):
+        for i in sorted(range(len(n)), key=lambda i: ((1,) if doc_ids[i] is None else (0, doc_ids[i]), n[i], zlib.crc32(ids[i]))):
             queues.setdefault(sources[i], []).append((i, n[i]))
         told = {s: (share, owed) for s, share, owed in zip(*(carry.column(c).to_pylist() for c in ("source", "share", "deficit")), strict=True)}
         lengths = iter(sequence_lengths(sum(n), sequence))

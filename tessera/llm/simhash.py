@@ -19,6 +19,9 @@ not compared but hashed once more, by 31 masks over other bits, until buckets
 are small: the guarantee holds at each level. Components come from
 ``tessera.operators.components``.
 
+For the near-duplicate stage see ``tessera.llm.similar``, which adds exact
+similarity over runs of words.
+
 Nulls: null text counts as empty; null doc_ids belong to components and are
 never their names (a component of nulls alone has a null name). Ties and
 repeated rows share a fingerprint and so a component. Empty tables give empty
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import cut, pieces_for
@@ -59,17 +62,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[Column] | None = None) -> DataFrame:
-    """doc_id, the columns of keep and fp (64 bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fp (64 bits as a signed long) of each row."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(b.num_columns - 1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*b.schema.names[:-1], "fp"])
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    rows = docs.select("doc_id", *(keep or []), F.col("text").alias("hashed_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(mapped, f"{schema}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(mapped, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def masks(level: int = 0, radius: int = RADIUS) -> list[int]:
@@ -172,10 +173,10 @@ def links(fps: DataFrame, parts: int, radius: int = RADIUS, most: int = 50_000,
     return out.distinct()
 
 
-def grouped(docs: DataFrame, keep: list[Column] | None = None, radius: int = RADIUS, most: int = 50_000) -> DataFrame:
-    """doc_id, the columns of keep, fp and component_id of each row."""
+def grouped(docs: DataFrame, radius: int = RADIUS, most: int = 50_000) -> DataFrame:
+    """doc_id, fp and component_id of each row."""
     parts = pieces_for(docs, 8 << 20)
-    prints = cut(fingerprints(docs, keep))
+    prints = cut(fingerprints(docs))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), parts, radius, most))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -188,91 +189,3 @@ def grouped(docs: DataFrame, keep: list[Column] | None = None, radius: int = RAD
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     return grouped(docs, radius=radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The row of each component with the smallest doc_id (nulls last, then the smaller text hash)."""
-    text_hash = F.xxhash64("text").alias("text_hash")
-    found = grouped(docs, [text_hash], radius)
-    label = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), F.col("fp").alias("fp"))
-    # component_id is null only for components of null doc_ids, which their fingerprints keep apart well enough to keep one row each
-    key = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")]
-    first = found.groupBy(*key).agg(F.min(label).alias("m")).select(F.col("m.id").alias("first_id"), F.col("m.h").alias("first_hash")).distinct()
-    rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
-
-
-def run_hashes(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of size words; a shorter text is one run of all its words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined = memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(size, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64).view(np.int64))
-
-
-def _runs(rows: DataFrame, size: int, common: np.ndarray, threshold: float | None) -> DataFrame:
-    """label, len and s of rows label and text: all runs, or with a threshold the first n - ceil(threshold*n) + 1, those in common (rarest first) after all others."""
-    held, rank = np.sort(common), np.argsort(common, kind="stable")
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets, sizes = [], []
-            for t in b.column(1):
-                h = run_hashes(t.as_py(), size)
-                n = len(h)
-                if threshold is not None and n:
-                    late = np.zeros(n, np.int64)
-                    if held.size:
-                        at = np.minimum(np.searchsorted(held, h), held.size - 1)
-                        late = np.where(held[at] == h, rank[at] + 1, 0)
-                    h = h[np.lexsort((h, late))][: n - int(np.ceil(threshold * n - 1e-9)) + 1]
-                sets.append(h)
-                sizes.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["label", "len", "s"])
-
-    kind = dict(rows.dtypes)["label"]
-    return rows.select("label", "text").mapInArrow(mapped, f"label {kind}, len int, s array<long>")
-
-
-def one_of_similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, stars: int = 3, sample: int = 64) -> DataFrame:
-    """docs without those whose runs of size words have a Jaccard similarity of threshold or more with a row of smaller doc_id (nulls last, then the smaller text hash), over any number of steps.
-
-    Two sets as similar as that share a run among the first n - ceil(threshold*n) + 1
-    of each in any common order (prefix filter), so no pair is missed. The order puts
-    runs that a sample of texts shares last, which only saves comparisons. In each of
-    the first rounds all rows of a run are compared with its first one and similar
-    ones leave, so large groups of copies make few pairs; then all that are left are.
-    """
-    label = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    rows = docs.select(label.alias("label"), "text")
-    some = _runs(rows.where(F.pmod(F.col("label.h"), F.lit(sample)) == 0), size, np.zeros(0, np.int64), None)
-    often = some.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").limit(100_000).collect()
-    common = np.array([r.x for r in reversed(often)], np.int64)
-    prefix = cut(_runs(rows, size, common, threshold).select("label", "len", F.explode("s").alias("x")))
-    shared = lambda p: p.join(p.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "x", "left_semi")
-    left, gone = cut(shared(prefix)), None
-    for k in range(stars + 1):
-        if left.isEmpty():
-            break
-        b = left.select("x", F.col("label").alias("b"), F.col("len").alias("lb"))
-        a = left.groupBy("x").agg(F.min(F.struct("label", "len")).alias("m")).select("x", F.col("m.label").alias("a"), F.col("m.len").alias("la")) if k < stars else left.select("x", F.col("label").alias("a"), F.col("len").alias("la"))
-        near = (F.col("a") < F.col("b")) & (F.least("la", "lb") >= F.greatest("la", "lb") * threshold - 1e-9)
-        pairs = cut(a.join(b, "x").where(near).select("a", "b").distinct())
-        asked = pairs.select(F.col("a").alias("label")).unionByName(pairs.select(F.col("b").alias("label"))).distinct()
-        sets = cut(_runs(rows.join(asked, "label", "left_semi"), size, common, None).dropDuplicates(["label"]))
-        both = pairs.join(sets.select(F.col("label").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("label").alias("b"), F.col("s").alias("sb")), "b")
-        same = F.size(F.array_intersect("sa", "sb"))
-        found = cut(both.where(same >= (F.size("sa") + F.size("sb") - same) * threshold - 1e-9).select(F.col("b").alias("label")).distinct())
-        gone = found if gone is None else gone.unionByName(found)
-        if k < stars:
-            rest = left.join(a.select("x", F.col("a").alias("label")), ["x", "label"], "left_anti").join(found, "label", "left_anti")
-            left = cut(shared(rest))
-    if gone is None:
-        return docs
-    return docs.withColumn("label", label).join(gone.distinct(), "label", "left_anti").select(*docs.columns)

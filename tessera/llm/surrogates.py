@@ -7,14 +7,15 @@ keyed surrogate wherever it occurs, so coreference holds across documents.
 
 A surrogate comes from a keyed permutation of all texts of the same shape:
 lower-case letters stay lower-case, digits digits, vowels vowels in names, and
-punctuation stays; so it has the format and script of what it replaces, and two
+punctuation stays; Russian surnames keep their endings, and a woman's and a man's
+form are one entity; so it has the format and script of what it replaces, and two
 entities can never get the same one. First names are permuted among the known
 names of the same gender and script. Cards keep their first digit and a right
 check digit; addresses and numbers stay valid (the permutation is applied until
 they are).
 
 *Collision checks*: over the table of all distinct entities, a surrogate that
-equals another entity's or an entity that occurs in the corpus, however short,
+equals another entity's or an entity that occurs in the corpus (itself included), however short,
 is drawn again with the next tweak, until none is left. As a large corpus may use
 up a short shape, every ``WIDEN`` tweaks the surrogate of a surname, e-mail address,
 secret or IPv4 address gets a letter or digit more; the other kinds have one format
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -51,8 +53,8 @@ FIRST_NAMES = {
 }
 _FIRST = {name: pool for pool, names in FIRST_NAMES.items() for name in names}
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
-_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*[^\W\d_]"
-LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9_.+-]*[A-Za-z0-9_+-]\Z"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_CAP = r"[A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽΑ-ΩА-ЯЁ][\w'’-]*[^\W\d_]"
+LOCAL, DOMAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.+-"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 PATTERNS: list[tuple[str, re.Pattern]] = [
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
@@ -73,7 +75,19 @@ NAME = re.compile(rf"\b(?:(?P<title>{_ALL_TITLES})\.?\s+(?P<named>{_CAP}(?:\s+{_
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 HEX = [("0123456789abcdef",)]
 PLAIN = [("0123456789",), ("abcdefghijklmnopqrstuvwxyz",), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ",)]
-SPOKEN = [("0123456789",), (VOWELS,), (CONSONANTS,), (VOWELS.upper(),), (CONSONANTS.upper(),), ("àáâäèéêëìíîïòóôöùúûü",), ("аеёиоуыэюя",), ("бвгджзйклмнпрстфхцчшщъь",), ("АЕЁИОУЫЭЮЯ",), ("БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ",)]
+
+
+def _letters(first: int, last: int, case: str, known: str) -> str:
+    """Letters of a stretch of Unicode that have both cases, in one case, less those known."""
+    found = (chr(c) for c in range(first, last + 1))
+    return "".join(c for c in found if getattr(c, f"is{case}")() and len(c.swapcase()) == 1 and c.swapcase().swapcase() == c and c not in known)
+
+
+ACCENTED = "àáâäèéêëìíîïòóôöùúûü"
+VOWELS_CYRILLIC, CONSONANTS_CYRILLIC = "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"
+SPOKEN = [("0123456789",), (VOWELS,), (CONSONANTS,), (VOWELS.upper(),), (CONSONANTS.upper(),), (ACCENTED,), (ACCENTED.upper(),), (VOWELS_CYRILLIC,), (CONSONANTS_CYRILLIC,), (VOWELS_CYRILLIC.upper(),), (CONSONANTS_CYRILLIC.upper(),)]
+#: The other letters of Latin, Greek and Cyrillic, by case.
+SPOKEN += [(_letters(a, b, case, "".join(x for (x,) in SPOKEN)),) for a, b in ((0xC0, 0x17F), (0x370, 0x3FF), (0x400, 0x52F)) for case in ("lower", "upper")]
 _CLASS = {name: {c: a for (a,) in classes for c in a} for name, classes in (("plain", PLAIN), ("spoken", SPOKEN), ("hex", HEX))}
 
 
@@ -115,7 +129,7 @@ def permuted(key: bytes, tweak: str, text: str, classes: str, valid: Callable[[s
         made = "".join(reversed(out))
         if x == start or valid(made):
             return made
-    return text
+    raise RuntimeError(f"no valid surrogate of the shape {shape!r} was found")
 
 
 def _luhn(digits: str) -> int:
@@ -147,7 +161,8 @@ WIDEN = 8
 def widened(kind: str, norm: str, more: int) -> str:
     """norm with room for more surrogates: letters added, or digits to the short numbers of an address."""
     if kind == "surname":
-        return norm + "".join("na"[i % 2] for i in range(more))
+        stem, ending, _ = inflected(norm)
+        return stem + "".join("na"[i % 2] for i in range(more)) + ending
     if kind == "email":
         local, _, domain = norm.partition("@")
         return f"{local}{'a' * more}@{domain}"
@@ -192,10 +207,28 @@ def surrogate(key: bytes, kind: str, norm: str, tweak: int = 0) -> str:
         return order[(order.index(norm) + 1) % len(order)]
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", norm):
         return permuted(key, t, norm, "hex")
-    return permuted(key, t, norm, "spoken" if kind == "surname" else "plain")
+    if kind == "surname":
+        stem, ending, _ = inflected(norm)
+        return permuted(key, t + ending, stem, "spoken") + ending
+    return permuted(key, t, norm, "plain")
+
+
+#: Endings of Russian surnames, feminine and masculine.
+ENDINGS = (("ская", "ский"), ("цкая", "цкий"), ("ова", "ов"), ("ева", "ев"), ("ёва", "ёв"), ("ина", "ин"), ("ына", "ын"))
+
+
+def inflected(name: str) -> tuple[str, str, str]:
+    """(stem, masculine ending, own ending) of a surname, endings empty where it has none of ENDINGS."""
+    for feminine, masculine in ENDINGS:
+        for own in (feminine, masculine):
+            if name.endswith(own) and len(name) > len(own) + 1:
+                return name[: -len(own)], masculine, own
+    return name, "", ""
 
 
 def normal(kind: str, found: str) -> str:
+    if kind == "surname":
+        return "".join(inflected(found)[:2])
     if kind in ("card", "iban"):
         return re.sub(r"[ -]", "", found)
     if kind == "phone":
@@ -205,6 +238,9 @@ def normal(kind: str, found: str) -> str:
 
 def dressed(kind: str, made: str, found: str) -> str:
     """A surrogate in the form in which the entity was written."""
+    if kind == "surname":
+        _, masculine, own = inflected(found)
+        return made[: len(made) - len(masculine)] + own
     if kind in ("card", "phone"):
         return _regrouped(made.replace("+", ""), found)
     if kind == "iban":
@@ -217,20 +253,20 @@ def dressed(kind: str, made: str, found: str) -> str:
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """begin, end and kind of what is found, in order and without overlap; earlier patterns prevail."""
-    found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    found: list[tuple[int, int, str]] = []  # sorted, without overlap
 
     def add(a: int, b: int, kind: str) -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            found.append((a, b, kind))
-            taken.append((a, b))
+        k = bisect(found, (a, b, kind))
+        if (k == 0 or found[k - 1][1] <= a) and (k == len(found) or b <= found[k][0]):
+            found.insert(k, (a, b, kind))
 
     at = text.find("@")
     while at >= 0:
-        begin = max(0, at - 256)
-        local, domain = LOCAL.search(text[begin:at]), DOMAIN.match(text, at + 1)
-        if local and domain:
-            add(begin + local.start(), domain.end(), "email")
+        begin = at
+        while begin and text[begin - 1] in LOCAL:
+            begin -= 1
+        if begin < at and text[at - 1] != "." and (domain := DOMAIN.match(text, at + 1)):
+            add(begin, domain.end(), "email")
         at = text.find("@", at + 1)
     if ("=" in text or ":" in text) and SECRET_SIGN.search(text):
         for m in SECRET.finditer(text):
@@ -246,7 +282,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                     continue
                 add(*m.span(), kind)
     if NAMES.isdisjoint(CAPITAL.findall(text)):
-        return sorted(found)
+        return found
     for m in NAME.finditer(text):
         if m["title"]:
             spans = [(m.start("named") + w.start(), m.start("named") + w.end()) for w in re.finditer(r"\S+", m["named"])]
@@ -255,11 +291,11 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         for k, (a, b) in enumerate(spans):
             known = k == 0 and len(spans) > 1 or not m["title"] and k == 0
             add(a, b, "first" if known and text[a:b] in _FIRST else "surname")
-    alone = sorted({text[a:b] for a, b, kind in found if kind == "surname"})
+    alone = sorted({text[a:b] for a, b, kind in found if kind == "surname"}, key=lambda n: (-len(n), n))
     if alone:  # the same people without title or first name
         for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, alone))})\b", text):
             add(*m.span(), "surname")
-    return sorted(found)
+    return found
 
 
 def replaced(text: str, key: bytes, tweaks: dict[tuple[str, str], int]) -> tuple[str, int]:

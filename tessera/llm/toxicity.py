@@ -7,12 +7,11 @@ terms, so a pair (an insult with the mention of a group) can weigh what neither
 term does alone.
 
 Learning takes at most ``sample`` labelled rows, those with the smallest hash of
-doc_id, from rows whose crc32(doc_id as text) mod ``folds`` is not ``held_out``;
-of their terms the ``width`` that tell the labels apart best by chi-squared are
-kept. So the model's size is fixed whatever the input. Documents' terms are
-counted on the executors; only the counts of kept terms and the bounded sample
-reach the driver. Scoring is a map over all documents and reads nothing but the
-text.
+doc_id, from rows whose crc32(doc_id as text) mod ``folds`` is not ``held_out``.
+Every term has a place, its hash modulo ``width``, so none is left out and the
+model's size is fixed whatever the input. Texts are turned into places on the
+executors; only the places of the bounded sample reach the driver. Scoring is a map
+over all documents and reads nothing but the text.
 
 Null text counts as empty and is scored by the bias. Rows with null doc_id are
 scored and never learned from; a doc_id that is labelled several times counts
@@ -30,10 +29,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from tessera.llm._common import cut
+from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -54,108 +52,116 @@ def words(text: str | None) -> set[str]:
 
 @dataclass
 class Machine:
-    """bias + w·x + the factors' pairwise inner products, through a logistic function."""
+    """bias + w·x + the factors' pairwise inner products, through a logistic function. A term's place is its hash modulo the width."""
 
     bias: float
-    terms: dict[int, int] = field(default_factory=dict)
-    w: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    v: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
+    w: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
+    v: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))
 
-    def score(self, active: list[int]) -> float:
+    def score(self, active: np.ndarray | list[int]) -> float:
         z = self.bias
-        if active:
+        if len(active):
             f = self.v[active].astype(np.float64)
             z += float(self.w[active].sum(dtype=np.float64)) + 0.5 * float((f.sum(0) ** 2 - (f**2).sum(0)).sum())
         return 1 / (1 + float(np.exp(-min(40.0, max(-40.0, z)))))
 
 
-def learn(rows: list[np.ndarray], labels: np.ndarray, width: int, rank: int = 8, epochs: int = 12, least_steps: int = 200, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors by AdaGrad on the logistic loss. rows: the kept terms' numbers of each text."""
+def values(rows: list[np.ndarray], labels: np.ndarray, width: int, soft: float) -> np.ndarray:
+    """Of each place the value of a term there, from 0 to 1: q / (q + soft), where q is its chi-squared with the labels. No place is cut off."""
+    places = np.concatenate(rows)
+    n, p = np.bincount(places, minlength=width), np.bincount(places, np.repeat(labels, [len(r) for r in rows]), width)
+    rate = labels.mean()
+    q = (p - n * rate) ** 2 / np.maximum(n, 1) / (rate * (1 - rate))
+    return q / (q + soft)
+
+
+def learn(rows: list[np.ndarray], labels: np.ndarray, width: int, soft: float = 20.0, rank: int = 8, epochs: int = 5, least_steps: int = 200, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by AdaGrad on the logistic loss. rows: the places of each text's terms."""
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(width, np.float32), rng.normal(0, 0.02, (width, rank)).astype(np.float32), 0.0
     gw, gv, gb = np.full(width, 1e-4, np.float32), np.full((width, rank), 1e-4, np.float32), 1e-4
-    y = labels.astype(np.float32)
+    y = labels.astype(np.float64)
+    x = values(rows, y, width, soft)
+    sums_of = lambda x, ends: np.diff(np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x, 0, dtype=np.float64)))[ends], axis=0)
     for _ in range(max(epochs, -(-least_steps * batch // len(rows)))):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), batch):
             part = order[k : k + batch]
-            x = np.zeros((len(part), width), np.float32)
-            for i, r in enumerate(part):
-                x[i, rows[r]] = 1
-            sums = x @ v
-            z = bias + x @ w + 0.5 * ((sums**2).sum(1) - x @ (v**2).sum(1))
+            sizes = np.array([len(rows[i]) for i in part])
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            terms, back = np.unique(np.concatenate([rows[i] for i in part]), return_inverse=True)
+            own = x[terms]
+            f = v[terms] * own[:, None]
+            sums = sums_of(f[back], ends)
+            z = bias + sums_of((w[terms] * own)[back], ends) + 0.5 * ((sums**2).sum(1) - sums_of((f**2).sum(1)[back], ends))
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-            db, dw = float(err.sum()), x.T @ err + decay * w
-            dv = x.T @ (err[:, None] * sums) - (x.T @ err)[:, None] * v + decay * v
-            gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
+            of_row = np.repeat(np.arange(len(part)), sizes)
+            each = err[of_row]
+            db, dw = float(err.sum()), np.bincount(back, each, len(terms)) * own
+            dv = np.stack([np.bincount(back, each * sums[of_row, j], len(terms)) for j in range(rank)], 1) * own[:, None] - dw[:, None] * f + decay * v[terms]
+            dw = dw + decay * w[terms]
+            gb += db * db
+            gw[terms] += dw * dw
+            gv[terms] += dv * dv
             bias -= rate * db / gb**0.5
-            w -= rate * dw / np.sqrt(gw)
-            v -= rate * dv / np.sqrt(gv)
-    return bias, w, v
+            w[terms] -= rate * dw / np.sqrt(gw[terms])
+            v[terms] -= rate * dv / np.sqrt(gv[terms])
+    return bias, (w * x).astype(np.float32), (v * x[:, None]).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 512, min_docs: int = 3, folds: int = 4, held_out: int = 2, label: str = "toxic") -> Machine:
+def places(text: str | None, width: int, known: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """The places of a text's terms; known remembers those of words."""
+    active: set[int] = set()
+    for w in words(text):
+        if (got := known.get(w)) is None:
+            if len(known) > 500_000:
+                known.clear()
+            got = known[w] = tuple(h % width for h in word_terms(w))
+        active.update(got)
+    return np.fromiter(active, np.int64, len(active))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 1 << 18, folds: int = 4, held_out: int = 2, label: str = "toxic") -> Machine:
     """The machine from the labelled rows that may be learned from."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != held_out))
     chosen = usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            found = [sorted({h for w in words(t.as_py()) for h in word_terms(w)}) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["y", "terms"])
-
-    # chosen has at most `sample` narrow rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
-    seen = cut(texts.mapInArrow(terms, "y int, terms array<long>"))
-    n, positive = seen.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not n or positive in (0, n):
-        rate = positive / n if n else 0.0
+            found = [np.sort(places(t.as_py(), width, known)).astype("<u4").tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "terms"])
+
+    # chosen has at most `sample` narrow rows; of rows that share a doc_id one is learned from, so no more than that are collected
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    seen = texts.mapInArrow(hashed, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, terms binary")
+    rows = seen.groupBy("doc_id", "y").agg(F.min("terms").alias("terms")).select("y", "terms").toArrow().sort_by([("terms", "ascending"), ("y", "ascending")])
+    y = rows.column("y").to_numpy()
+    if not len(y) or y.sum() in (0, len(y)):
+        rate = float(y.mean()) if len(y) else 0.0
         return Machine(float(np.log(max(rate, 1e-12) / max(1 - rate, 1e-12))))
-    counts = seen.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= min_docs)
-    rate = positive / n
-    spread = F.pow(F.col("p") - F.col("n") * rate, F.lit(2)) / (F.col("n") * (rate * (1 - rate)))
-    kept = {r.term: i for i, r in enumerate(counts.orderBy(spread.desc(), "term").limit(width).collect())}
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.array([kept[t] for t in ts if t in kept], np.uint16).tobytes() for ts in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["y", "terms"])
-
-    rows = seen.mapInArrow(numbered, "y int, terms binary").toArrow().sort_by([("terms", "ascending"), ("y", "ascending")])
-    x = [np.frombuffer(t, np.uint16) for t in rows.column("terms").to_pylist()]
-    return Machine(*(m := learn(x, rows.column("y").to_numpy(), max(1, len(kept))))[:1], kept, *m[1:])
+    return Machine(*learn([np.frombuffer(t, "<u4").astype(np.int64) for t in rows.column("terms").to_pylist()], y, width))
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, folds: int = 4, held_out: int = 2, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row, and the columns named in keep."""
-    keep = keep or []
+def _scored(docs: DataFrame, machine: Machine, carried: list[Column]) -> DataFrame:
+    """The columns of carried and score."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
-        numbers = machine.terms
         for b in batches:
-            out = []
-            for t in b.column(b.num_columns - 1):
-                active: set[int] = set()
-                for w in words(t.as_py()):
-                    if (got := known.get(w)) is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        got = known[w] = tuple(numbers[h] for h in word_terms(w) if h in numbers)
-                    if got:
-                        active.update(got)
-                out.append(machine.score(sorted(active)))
+            out = [machine.score(places(t.as_py(), len(machine.w), known)) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
-    rest = [c for c in keep if c not in ("doc_id", "text")]
-    extra = [F.col("text").alias("kept_text")] if "text" in keep else []
-    rows = docs.select("doc_id", *rest, *extra, F.col("text").alias("scored_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(scored, f"{schema}, score double")
-    if extra:
-        out = out.withColumnRenamed("kept_text", "text")
+    rows = docs.select(*carried, F.col("text").alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(scored, schema)
+
+
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, folds: int = 4, held_out: int = 2) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row."""
+    out = _scored(docs, machine, [F.col("doc_id")])
     is_held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_out, F.lit(False))
-    return out.select("doc_id", is_held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *(c for c in keep if c != "doc_id"))
+    return out.select("doc_id", is_held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how: int) -> DataFrame:
@@ -163,9 +169,6 @@ def classify(docs: DataFrame, labels: DataFrame, **how: int) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents, with their columns in order, that score below threshold."""
-    clash = [c for c in docs.columns if c in ("held_out", "score", "predicted", "kept_text", "scored_text")]
-    if clash:
-        raise ValueError(f"documents must not have columns named {clash}")
-    kept = score(docs, fit(docs, labels), threshold, keep=docs.columns)
-    return kept.where(F.col("score") < threshold).select(*docs.columns)
+    """The documents, with their columns in order, that score below threshold. A row travels as one struct, so columns may have any names."""
+    kept = _scored(docs, fit(docs, labels), [F.struct("*").alias("row")])
+    return kept.where(F.col("score") < threshold).select("row.*")

@@ -86,7 +86,7 @@ def test_ids_are_the_librarys(text):
 
 
 def check_packed(rows, texts, encoder, sequence=1024):
-    ids = [np.append(np.frombuffer(encoder(t or ""), encoder.dtype), 0).astype("<u4") for t in texts.values()]
+    ids = [np.array([*encoder.whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts.values()]  # the library, not our own way
     ids = dict(zip(texts, ids, strict=True))
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -125,6 +125,29 @@ def test_lanes_sources_and_nulls(spark, encoder):
     assert packing.pack(docs.limit(0), *BYTE).collect() == []
 
 
+def test_every_window_is_on_target(spark):
+    rnd = random.Random(2)
+    sizes = {"a": 3, "b": 2, "c": 1}
+    data = [(i, "the cat " * rnd.randint(1, 40), s) for i, s in enumerate(rnd.choices(list(sizes), sizes.values(), k=1500))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").coalesce(1)
+    for shares in (None, {"a": 0.5, "b": 0.3, "c": 0.2}):
+        rows = packing.pack(docs, *BYTE, shares=shares, lane_bytes=1 << 30).orderBy("sequence_id", "offset").collect()
+        total = {s: sum(r.length for r in rows if r.source == s) for s in sizes}
+        target = shares or {s: n / sum(total.values()) for s, n in total.items()}
+        so_far, all_so_far = dict.fromkeys(sizes, 0), 0
+        longest = max(r.doc_tokens for r in rows)
+        for r in rows:
+            if r.offset == 0 and all(so_far[s] < total[s] for s in sizes) and all_so_far < 0.8 * sum(total.values()):
+                assert all(abs(so_far[s] - target[s] * all_so_far) <= longest + 1024 * target[s] for s in sizes), (shares, so_far)
+            so_far[r.source] += r.length
+            all_so_far += r.length
+
+
+def test_text_ids(spark, encoder):
+    docs = spark.createDataFrame([("", "the cat", "a", 1), ("x", "the", "a", 2), (None, "a dog", "b", 3)], "doc_id string, text string, source string, lane int")
+    check_packed(packing.pack(docs, *BYTE).collect(), {"": "the cat", "x": "the", None: "a dog"}, encoder)
+
+
 def test_round_robin_keeps_proportions_and_carries_deficits():
     queues = {"a": [(("a", i), 10) for i in range(300)], "b": [(("b", i), 10) for i in range(100)]}
     order = list(packing.round_robin(queues, {"a": 0.75, "b": 0.25}, {}, 400))
