@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UNKNOWN_SIZE = 1 << 50
 
@@ -42,6 +43,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_reach(df: DataFrame, most: int = 400_000) -> DataFrame:
+    """Narrow rows to join with: to be broadcast if they were counted to be at most `most`, else as they are, and Spark deals both sides by key."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def size_hint(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes of df; for tables read from files, their size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -16,10 +16,10 @@ is lost. Candidates pass a filter of 64 one-bit minhashes, of which a pair at 0.
 has 57.6 alike on average: fewer than 40 stops it, which has a chance below
 10^-9. The rest are compared as whole sets. Equal sets are one node from the start.
 
-Only narrow rows (hashes, counts) are shuffled for candidates. Texts move for the
-compared documents and once for the result, where Spark does not find the list of
-rows small enough to broadcast by itself. A row that occurs many times is dealt
-by a salt.
+Only narrow rows (hashes, counts) are shuffled for candidates. The list of documents
+to compare and that of rows to keep are broadcast if they were counted to be few;
+else texts are dealt by row to meet them. A row that occurs many times is dealt by a
+salt.
 
 Null and empty texts are one group, as their fingerprints are all zero. Of
 repeated rows (doc_id and text alike) any one stays. Empty tables give empty
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut, pieces_for
+from tessera.llm._common import cut, in_reach, pieces_for
 from tessera.llm.simhash import RADIUS, fingerprint, links
 from tessera.operators.components import components
 
@@ -148,7 +148,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, size: int, th
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    asked = sides.select("node").distinct().join(first, "node")
+    asked = in_reach(first.join(sides.select("node").distinct(), "node", "left_semi"))
     sets = docs.join(asked, "rid").select("node", "text").mapInArrow(mapped, "node long, s array<long>").dropDuplicates(["node"])
     both = sides.join(sets, "node").groupBy("a", "b").agg(F.collect_list("s").alias("s"))
     left, right = F.col("s")[0], F.col("s")[1]
@@ -166,8 +166,8 @@ def _plausible(a: str, b: str, threshold: float) -> Column:
 def similar(docs: DataFrame, profiles: DataFrame, parts: int, size: int = 5, threshold: float = 0.8, stars: int = 2, sample: int = 64, most_common: int = 100_000) -> DataFrame:
     """Links a, b between nodes that connect what is similar. docs: rid, doc_id, text; profiles: as _profiles gives them."""
     some = docs.where(F.pmod(F.col("rid"), F.lit(sample)) == 0).select("text")
-    often = _prefixes(some, size, 0.0, np.zeros(0, np.uint64)).groupBy("x").agg(F.count_distinct("node").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").limit(most_common).collect()
-    common = np.array([r.x for r in reversed(often)], np.int64).view(np.uint64)
+    often = _prefixes(some, size, 0.0, np.zeros(0, np.uint64)).groupBy("x").agg(F.count_distinct("node").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").select("x").limit(most_common).toArrow()
+    common = often.column("x").to_numpy()[::-1].copy().view(np.uint64)
     first = cut(profiles.where("n > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.first("signs").alias("signs")))
     left = cut(_shared(_prefixes(docs, size, threshold, common), parts).join(first.select("node", "signs"), "node").withColumn("root", F.col("node")))
     first, found = first.select("node", "rid"), None
@@ -199,18 +199,21 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, threshold:
     parts = pieces_for(docs, 8 << 20)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
     profiles = cut(_profiles(rows, size))
-    of_print = lambda c: F.xxhash64(c, F.lit("fp"))  # noqa: E731  fingerprints as nodes beside the sets
-    edges = links(profiles.select("fp").distinct(), parts, radius).select(of_print("a").alias("a"), of_print("b").alias("b"))
-    edges = edges.unionByName(profiles.select(F.col("node").alias("a"), of_print("fp").alias("b")).distinct())
+    printed = cut(profiles.select("fp", "node").distinct())
+    hub = cut(printed.groupBy("fp").agg(F.min("node").alias("hub")))  # a fingerprint stands for its smallest set
+    of = lambda c: hub.select(F.col("fp").alias(f"fp_{c}"), F.col("hub").alias(c))
+    near = cut(links(hub.select("fp"), parts, radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")))
+    edges = near.join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
+    edges = edges.unionByName(printed.join(hub, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     roots = components(edges.unionByName(similar(rows, profiles, parts, size, threshold, **how)))
     label = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
     of_node = profiles.groupBy("node").agg(F.min(label).alias("m"))
-    stays = of_node.join(roots, "node").groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.rid").alias("rid"))
+    stays = of_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m")).select(F.col("m.rid").alias("rid"))
     times = profiles.groupBy("rid").agg(F.count("*").alias("times"))
     stays = cut(stays.join(times, "rid"))
     whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.struct("*").alias("row"))
-    once = whole.join(stays.where("times = 1").select("rid"), "rid", "left_semi")
+    once = whole.join(in_reach(stays.where("times = 1").select("rid")), "rid", "left_semi")
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(32)).cast("int")
-    salted = stays.where("times > 1").select("rid", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
+    salted = in_reach(stays.where("times > 1").select("rid", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt")))
     repeated = whole.withColumn("salt", salt).join(salted, ["rid", "salt"], "left_semi").drop("salt").dropDuplicates(["rid"])
     return once.unionByName(repeated).select("row.*")

@@ -10,7 +10,8 @@ Learning takes at most ``sample`` labelled rows, those with the smallest hash of
 doc_id, from rows whose crc32(doc_id as text) mod ``folds`` is not ``held_out``.
 Every term has a place, its hash modulo ``width``, so none is left out and the
 model's size is fixed whatever the input. Texts are turned into places on the
-executors; only the places of the bounded sample reach the driver. Scoring is a map
+executors; one task learns from those of the bounded sample, and only the model
+reaches the driver. Scoring is a map
 over all documents and reads nothing but the text.
 
 Null text counts as empty and is scored by the bias. Rows with null doc_id are
@@ -135,12 +136,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 1
     # chosen has at most `sample` narrow rows; of rows that share a doc_id one is learned from, so no more than that are collected
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
     seen = texts.mapInArrow(hashed, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, terms binary")
-    rows = seen.groupBy("doc_id", "y").agg(F.min("terms").alias("terms")).select("y", "terms").toArrow().sort_by([("terms", "ascending"), ("y", "ascending")])
-    y = rows.column("y").to_numpy()
-    if not len(y) or y.sum() in (0, len(y)):
-        rate = float(y.mean()) if len(y) else 0.0
-        return Machine(float(np.log(max(rate, 1e-12) / max(1 - rate, 1e-12))))
-    return Machine(*learn([np.frombuffer(t, "<u4").astype(np.int64) for t in rows.column("terms").to_pylist()], y, width))
+    rows = seen.groupBy("doc_id", "y").agg(F.min("terms").alias("terms")).select("y", "terms")
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        table = pa.Table.from_batches(parts).sort_by([("terms", "ascending"), ("y", "ascending")]) if parts else None
+        y = table.column("y").to_numpy() if table else np.zeros(0)
+        if not len(y) or y.sum() in (0, len(y)):
+            rate = float(y.mean()) if len(y) else 0.0
+            bias, w, v = float(np.log(max(rate, 1e-12) / max(1 - rate, 1e-12))), np.zeros(1, np.float32), np.zeros((1, 1), np.float32)
+        else:
+            bias, w, v = learn([np.frombuffer(t, "<u4") for t in table.column("terms").to_pylist()], y, width)
+        yield pa.RecordBatch.from_arrays([pa.array([bias], pa.float64()), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["bias", "w", "v"])
+
+    # one task learns from the bounded sample; the driver gets the model, whose size is fixed
+    bias, w, v = rows.repartition(1).mapInArrow(learned, "bias double, w binary, v binary").first()
+    w = np.frombuffer(w, np.float32)
+    return Machine(bias, w, np.frombuffer(v, np.float32).reshape(len(w), -1))
 
 
 def _scored(docs: DataFrame, machine: Machine, carried: list[Column]) -> DataFrame:
