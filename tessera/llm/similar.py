@@ -138,7 +138,7 @@ def _shared(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs a, b of nodes whose sets are similar. first: node, rid of a row that has it."""
+    """The pairs (a, b and their roots) of nodes whose sets are similar. first: node, rid of a row that has it."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,13 +147,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, size: int, th
                 sets = [run_hashes(t.as_py(), size).view(np.int64) for t in c.column(1)]
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    sides = pairs.select("*", F.explode(F.array("a", "b")).alias("node"))
     asked = in_reach(first.join(sides.select("node").distinct(), "node", "left_semi"))
     sets = docs.join(asked, "rid").select("node", "text").mapInArrow(mapped, "node long, s array<long>").dropDuplicates(["node"])
-    both = sides.join(sets, "node").groupBy("a", "b").agg(F.collect_list("s").alias("s"))
+    both = sides.join(sets, "node").groupBy(*pairs.columns).agg(F.collect_list("s").alias("s"))
     left, right = F.col("s")[0], F.col("s")[1]
     same = F.size(F.array_intersect(left, right))
-    return both.where((F.size("s") == 2) & (same >= (F.size(left) + F.size(right) - same) * threshold - 1e-9)).select("a", "b")
+    return both.where((F.size("s") == 2) & (same >= (F.size(left) + F.size(right) - same) * threshold - 1e-9)).select(*pairs.columns)
 
 
 def _plausible(a: str, b: str, threshold: float) -> Column:
@@ -163,13 +163,15 @@ def _plausible(a: str, b: str, threshold: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (alike >= LEAST_SIGNS)
 
 
-def similar(docs: DataFrame, profiles: DataFrame, parts: int, size: int = 5, threshold: float = 0.8, stars: int = 2, sample: int = 64, most_common: int = 100_000) -> DataFrame:
-    """Links a, b between nodes that connect what is similar. docs: rid, doc_id, text; profiles: as _profiles gives them."""
+def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int, size: int = 5, threshold: float = 0.8, stars: int = 2, sample: int = 64, most_common: int = 100_000) -> DataFrame:
+    """Links a, b between nodes that connect what is similar. docs: rid, doc_id, text; profiles: as _profiles gives them; roots: node, root of nodes that are connected already."""
     some = docs.where(F.pmod(F.col("rid"), F.lit(sample)) == 0).select("text")
     often = _prefixes(some, size, 0.0, np.zeros(0, np.uint64)).groupBy("x").agg(F.count_distinct("node").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").select("x").limit(most_common).toArrow()
     common = often.column("x").to_numpy()[::-1].copy().view(np.uint64)
     first = cut(profiles.where("n > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.first("signs").alias("signs")))
-    left = cut(_shared(_prefixes(docs, size, threshold, common), parts).join(first.select("node", "signs"), "node").withColumn("root", F.col("node")))
+    left = cut(_shared(_prefixes(docs, size, threshold, common), parts).join(first.select("node", "signs"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = lambda df: df.join(df.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("x"), "x", "left_semi")
+    left = cut(mixed(left))
     first, found = first.select("node", "rid"), None
     side = lambda name: left.select("x", *(F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "signs", "root")))
     for k in range(stars + 1):
@@ -181,17 +183,16 @@ def similar(docs: DataFrame, profiles: DataFrame, parts: int, size: int = 5, thr
         met = a.join(side("b"), "x").where((F.col("a_root") != F.col("b_root")) & _plausible("a", "b", threshold))
         if k == stars:
             met = met.where("a_node < b_node")
-        pairs = cut(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+        pairs = cut(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), F.least("a_root", "b_root").alias("low"), F.greatest("a_root", "b_root").alias("high")).distinct())
         if pairs.isEmpty() and k == stars:
             break
         good = cut(_verified(pairs, docs, first, size, threshold))
         found = good if found is None else found.unionByName(good)
         if k < stars:  # rows that met all others of their run are done, and so are runs whose rows are connected
-            roots = components(found)
-            rest = left.drop("root").join(a.select("x", F.col("a_node").alias("node")), ["x", "node"], "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            rest = cut(rest)
-            left = cut(rest.join(rest.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("x"), "x", "left_semi"))
-    return found if found is not None else first.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+            hop = good.groupBy(F.col("high").alias("root")).agg(F.min("low").alias("to"))
+            rest = left.join(a.select("x", F.col("a_node").alias("node")), ["x", "node"], "left_anti").join(hop, "root", "left")
+            left = cut(mixed(cut(rest.select("x", "node", "n", "signs", F.coalesce("to", "root").alias("root")))))
+    return found.select("a", "b") if found is not None else first.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, threshold: float = 0.8, **how: int) -> DataFrame:
@@ -205,7 +206,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, threshold:
     near = cut(links(hub.select("fp"), parts, radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")))
     edges = near.join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
     edges = edges.unionByName(printed.join(hub, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    roots = components(edges.unionByName(similar(rows, profiles, parts, size, threshold, **how)))
+    edges = cut(edges)
+    roots = components(edges.unionByName(similar(rows, profiles, components(edges), parts, size, threshold, **how)))
     label = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
     of_node = profiles.groupBy("node").agg(F.min(label).alias("m"))
     stays = of_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m")).select(F.col("m.rid").alias("rid"))
