@@ -44,5 +44,5 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     roots = picks[-1].select("node", F.col("pick").alias("root"))
     for pick in reversed(picks[:-1]):
         later = roots.select(F.col("node").alias("pick"), "root")
-        roots = pick.join(later, "pick", "left").select("node", F.coalesce("root", "pick").alias("root"))
-    return _kept(roots)
+        roots = _kept(pick.join(later, "pick", "left").select("node", F.coalesce("root", "pick").alias("root")))  # else one plan holds all rounds
+    return roots
