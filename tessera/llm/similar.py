@@ -164,7 +164,7 @@ def _plausible(a: str, b: str, threshold: float) -> Column:
 
 
 def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int, size: int = 5, threshold: float = 0.8, stars: int = 2, sample: int = 64, most_common: int = 100_000) -> DataFrame:
-    """Links a, b between nodes that connect what is similar. docs: rid, doc_id, text; profiles: as _profiles gives them; roots: node, root of nodes that are connected already."""
+    """Links a, b between roots that connect what is similar. docs: rid, doc_id, text; profiles: as _profiles gives them; roots: node, root of nodes that are connected already."""
     some = docs.where(F.pmod(F.col("rid"), F.lit(sample)) == 0).select("text")
     often = _prefixes(some, size, 0.0, np.zeros(0, np.uint64)).groupBy("x").agg(F.count_distinct("node").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").select("x").limit(most_common).toArrow()
     common = often.column("x").to_numpy()[::-1].copy().view(np.uint64)
@@ -192,7 +192,9 @@ def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int,
             hop = good.groupBy(F.col("high").alias("root")).agg(F.min("low").alias("to"))
             rest = left.join(a.select("x", F.col("a_node").alias("node")), ["x", "node"], "left_anti").join(hop, "root", "left")
             left = cut(mixed(cut(rest.select("x", "node", "n", "signs", F.coalesce("to", "root").alias("root")))))
-    return found.select("a", "b") if found is not None else first.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    if found is None:
+        return left.select(F.col("root").alias("a"), F.col("root").alias("b"))
+    return found.select(F.col("low").alias("a"), F.col("high").alias("b"))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, threshold: float = 0.8, **how: int) -> DataFrame:
@@ -206,11 +208,12 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, threshold:
     near = cut(links(hub.select("fp"), parts, radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")))
     edges = near.join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
     edges = edges.unionByName(printed.join(hub, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    edges = cut(edges)
-    roots = components(edges.unionByName(similar(rows, profiles, components(edges), parts, size, threshold, **how)))
+    roots = components(edges)
+    whole = components(similar(rows, profiles, roots, parts, size, threshold, **how)).select(F.col("node").alias("of"), F.col("root").alias("whole"))
     label = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
     of_node = profiles.groupBy("node").agg(F.min(label).alias("m"))
-    stays = of_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m")).select(F.col("m.rid").alias("rid"))
+    of_node = of_node.join(roots, "node", "left").withColumn("of", F.coalesce("root", "node")).join(whole, "of", "left")
+    stays = of_node.groupBy(F.coalesce("whole", "of").alias("whole")).agg(F.min("m").alias("m")).select(F.col("m.rid").alias("rid"))
     times = profiles.groupBy("rid").agg(F.count("*").alias("times"))
     stays = cut(stays.join(times, "rid"))
     whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.struct("*").alias("row"))
