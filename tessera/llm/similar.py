@@ -72,7 +72,7 @@ def signature(runs: np.ndarray) -> int:
     return int(_BITS[(mins >> np.uint64(20)) & np.uint64(1) == 1].sum())
 
 
-def _signed(values: list[int]) -> pa.Array:
+def _signed(values: tuple[int, ...]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
@@ -81,10 +81,13 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            sets = [run_hashes(t, size) for t in texts]
-            cols = [_signed([fingerprint(t) for t in texts]), _signed([xxhash.xxh64_intdigest(s.tobytes()) if s.size else 0 for s in sets]), pa.array([len(s) for s in sets], pa.int32()), _signed([signature(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["rid", "doc_id", "fp", "node", "n", "signs"])
+            found = []
+            for t in b.column(2):  # one text at a time
+                text = t.as_py()
+                runs = run_hashes(text, size)
+                found.append((fingerprint(text), xxhash.xxh64_intdigest(runs.tobytes()) if runs.size else 0, len(runs), signature(runs)))
+            fp, node, n, signs = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(fp), _signed(node), pa.array(n, pa.int32()), _signed(signs)], names=["rid", "doc_id", "fp", "node", "n", "signs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(mapped, f"rid long, doc_id {kind}, fp long, node long, n int, signs long")
@@ -95,9 +98,9 @@ def _prefixes(docs: DataFrame, size: int, threshold: float, common: np.ndarray)
     held, rank = np.sort(common), np.argsort(common, kind="stable")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole, at_row in ((b, k) for b in batches for k in range(0, b.num_rows, 2000)):
             runs, nodes, sizes = [], [], []
-            for t in b.column(0):
+            for t in whole.slice(at_row, 2000).column(0):
                 h = run_hashes(t.as_py(), size)
                 if not (n := len(h)):
                     continue
@@ -105,10 +108,10 @@ def _prefixes(docs: DataFrame, size: int, threshold: float, common: np.ndarray)
                 if held.size:
                     at = np.minimum(np.searchsorted(held, h), held.size - 1)
                     late = np.where(held[at] == h, rank[at] + 1, 0)
-                k = min(n, n - int(np.ceil(threshold * n - 1e-9)) + 1)
-                runs.append(h[np.lexsort((h, late))][:k])
-                nodes.append(np.full(k, xxhash.xxh64_intdigest(h.tobytes()), np.uint64))
-                sizes.append(np.full(k, n, np.int32))
+                first = min(n, n - int(np.ceil(threshold * n - 1e-9)) + 1)
+                runs.append(h[np.lexsort((h, late))][:first])
+                nodes.append(np.full(first, xxhash.xxh64_intdigest(h.tobytes()), np.uint64))
+                sizes.append(np.full(first, n, np.int32))
             if runs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(t)) for c, t in ((runs, np.int64), (nodes, np.int64), (sizes, np.int32))], names=["x", "node", "n"])
 
@@ -142,8 +145,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, size: int, th
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                c = b.slice(k, 500)
+            for k in range(0, b.num_rows, 200):
+                c = b.slice(k, 200)
                 sets = [run_hashes(t.as_py(), size).view(np.int64) for t in c.column(1)]
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 

@@ -115,7 +115,7 @@ def places(text: str | None, width: int, known: dict[str, tuple[int, ...]]) -> n
     active: set[int] = set()
     for w in words(text):
         if (got := known.get(w)) is None:
-            if len(known) > 500_000:
+            if len(known) > 100_000:
                 known.clear()
             got = known[w] = tuple(h % width for h in word_terms(w))
         active.update(got)
