@@ -122,7 +122,7 @@ class Block:
         return np.bincount(self.doc, np.log10(s), len(self.lengths))
 
 
-def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, leave_one_out: bool = True, block_bytes: int = 8 << 20) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, leave_one_out: bool = True, block_bytes: int = 5 << 20) -> DataFrame:
     """doc_id, words, log10_score (summed over words), mean_log10."""
     blocks = pieces_for(docs, block_bytes)
     ranges = blocks
