@@ -20,6 +20,11 @@ def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def stripped(c: Column) -> Column:
+    """No white space at the ends, line ends included."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def without_comments(c: Column) -> Column:
     """Block and line comments gone, white space squeezed."""
     return squeezed(F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", ""), r"(?md)//.*?$", ""))
@@ -125,7 +130,7 @@ def json_in(c: Column) -> Column:
 
 def without_thinking(c: Column) -> Column:
     """C05."""
-    return F.trim(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
+    return stripped(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
 
 
 def before_marker(c: Column, marker: str = "[/REASONING]") -> Column:
@@ -158,7 +163,7 @@ def prose_scores(c: Column) -> Column:
 def code_block(c: Column, language: str = "php") -> Column:
     """The first fenced block, or the text itself."""
     found = F.regexp_extract(c, rf"(?s)```(?:{language})?\s*\n?(.*?)```", 1)
-    return F.when(found != "", F.trim(found)).otherwise(F.trim(c))
+    return F.when(found != "", stripped(found)).otherwise(stripped(c))
 
 
 # Grades and the least score of each.

@@ -173,7 +173,7 @@ def rule_hits_pages(spark, sf_dir):
     """C07."""
     (pages,) = tables(spark, sf_dir, "pages")
     hits = rubric.rule_hits(F.col("html"), SQL_RULES)
-    return pages.repartition(8).select(F.explode(hits).alias("rule")).groupBy("rule").agg(F.count("*").alias("pages"))
+    return pages.select(F.explode(hits).alias("rule")).groupBy("rule").agg(F.count("*").alias("pages"))
 
 
 def _score_sql() -> str:
@@ -188,7 +188,7 @@ def _score_sql() -> str:
 def rubric_score_pages(spark, sf_dir):
     """C10 C11 P22."""
     (pages,) = tables(spark, sf_dir, "pages")
-    rows = pages.repartition(8).select("page_id", rubric.rule_hits(F.col("html"), SQL_RULES).alias("hits"))
+    rows = pages.select("page_id", rubric.rule_hits(F.col("html"), SQL_RULES).alias("hits"))
     s = rubric.dimension_scores(F.col("hits"), F.array().cast("array<string>"), SQL_RULES, {"D7_a11y": 18})["D7_a11y"]
     return rows.select("page_id", F.round(s, 6).alias("score"), X.banded(s * 10).alias("grade"))
 
@@ -197,7 +197,7 @@ def rubric_score_pages(spark, sf_dir):
 def rubric_full_pages(spark, sf_dir):
     """C09-C13 over all rules and dimensions."""
     (pages,) = tables(spark, sf_dir, "pages")
-    out = rubric.scored(pages.repartition(8), "page_id", "html")
+    out = rubric.scored(pages, "page_id", "html")
     return out.select("page_id", F.size("hits").alias("n_hits"), F.size("na").alias("n_na"), "overall", "grade")
 
 

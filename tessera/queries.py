@@ -1,6 +1,6 @@
 """All queries over the engine's own operators, by name, with equivalent DuckDB SQL."""
 
-from tessera.plans import corpus, evaluation, extensions, rewards, sampling, training  # noqa: F401
+from tessera.plans import corpus, evaluation, extensions, gates, rewards, sampling, training  # noqa: F401
 from tessera.plans._registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.components import _kept
 from tessera.operators.order import positions
 
 #: The task tokens of the two kinds of training examples.
@@ -87,12 +88,8 @@ def pending(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def resume(spark: SparkSession, df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Appends to the Parquet at path what it does not have; gives what was appended."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rest = pending(df, spark.read.parquet(path), keys)
-    except AnalysisException:
-        rest = df
-    rest = rest.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rest.cache()
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    rest = _kept(pending(df, spark.read.parquet(path), keys) if there else df)
     rest.write.mode("append").parquet(path)
     return rest
