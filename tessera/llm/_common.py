@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,10 @@ def pieces_for(df: DataFrame, bytes_each: int) -> int:
     if size >= UNKNOWN_SIZE:
         size = df.count() * 2_000
     return max(1, -(-size // bytes_each))
+
+
+def give_back() -> None:
+    """Gives what a worker has freed back to the system; workers are kept for later stages, and so is what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

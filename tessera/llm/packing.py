@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import pieces_for, stored
+from tessera.llm._common import give_back, pieces_for, stored
 
 #: A space before white space or the end: only there can a pre-token reach over a space between two words.
 RISKY = re.compile(r" (?=\s|\Z)")
@@ -145,6 +145,7 @@ def tokenised(docs: DataFrame, lanes: int, path: str, ranks_path: str | None, pa
                 ids = [enc(t.as_py() or "") + end for t in c.column(3)]
                 n = [len(x) // len(end) for x in ids]
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["lane", "doc_id", "source", "n", "ids"])
+        give_back()
 
     lane = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes))  # the result is stored, so a row has one lane
     rows = docs.select(lane.alias("lane"), "doc_id", F.col("source").cast("string").alias("source"), "text")

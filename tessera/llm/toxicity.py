@@ -32,7 +32,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tessera.llm._common import give_back
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -132,6 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 1
         for b in batches:
             found = [np.sort(places(t.as_py(), width, known)).astype("<u4").tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "terms"])
+        known.clear()
+        give_back()
 
     # chosen has at most `sample` narrow rows; of rows that share a doc_id one is learned from, so no more than that are collected
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
@@ -148,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 1
         else:
             bias, w, v = learn([np.frombuffer(t, "<u4") for t in table.column("terms").to_pylist()], y, width)
         yield pa.RecordBatch.from_arrays([pa.array([bias], pa.float64()), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["bias", "w", "v"])
+        give_back()
 
     # one task learns from the bounded sample; the driver gets the model, whose size is fixed
     bias, w, v = rows.repartition(1).mapInArrow(learned, "bias double, w binary, v binary").first()
@@ -155,23 +159,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 1
     return Machine(bias, w, np.frombuffer(v, np.float32).reshape(len(w), -1))
 
 
-def _scored(docs: DataFrame, machine: Machine, carried: list[Column]) -> DataFrame:
-    """The columns of carried and score."""
+def _score(machine: Machine) -> Column:
+    """The score of the column text; only texts go to Python, and only numbers come back."""
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, tuple[int, ...]] = {}
-        for b in batches:
-            out = [machine.score(places(t.as_py(), len(machine.w), known)) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], names=[*b.schema.names[:-1], "score"])
+        for part in texts:
+            yield pa.array([machine.score(places(t.as_py(), len(machine.w), known)) for t in part], pa.float64())
+        known.clear()
+        give_back()
 
-    rows = docs.select(*carried, F.col("text").alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(scored, schema)
+    return scored(F.col("text"))
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, folds: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
-    out = _scored(docs, machine, [F.col("doc_id")])
+    out = docs.select("doc_id", _score(machine).alias("score"))
     is_held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_out, F.lit(False))
     return out.select("doc_id", is_held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
@@ -181,6 +185,5 @@ def classify(docs: DataFrame, labels: DataFrame, **how: int) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents, with their columns in order, that score below threshold. A row travels as one struct, so columns may have any names."""
-    kept = _scored(docs, fit(docs, labels), [F.struct("*").alias("row")])
-    return kept.where(F.col("score") < threshold).select("row.*")
+    """The documents, with their columns in order and whatever their names, that score below threshold."""
+    return docs.where(_score(fit(docs, labels)) < threshold)
