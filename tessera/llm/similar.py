@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut, in_reach, pieces_for
+from tessera.llm._common import cut, give_back, in_reach, pieces_for
 from tessera.llm.simhash import RADIUS, fingerprint, links
 from tessera.operators.components import components
 
@@ -88,6 +88,7 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
                 found.append((fingerprint(text), xxhash.xxh64_intdigest(runs.tobytes()) if runs.size else 0, len(runs), signature(runs)))
             fp, node, n, signs = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(fp), _signed(node), pa.array(n, pa.int32()), _signed(signs)], names=["rid", "doc_id", "fp", "node", "n", "signs"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(mapped, f"rid long, doc_id {kind}, fp long, node long, n int, signs long")
@@ -114,6 +115,7 @@ def _prefixes(docs: DataFrame, size: int, threshold: float, common: np.ndarray)
                 sizes.append(np.full(first, n, np.int32))
             if runs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(t)) for c, t in ((runs, np.int64), (nodes, np.int64), (sizes, np.int32))], names=["x", "node", "n"])
+        give_back()
 
     return docs.select("text").mapInArrow(mapped, "x long, node long, n int")
 
@@ -149,14 +151,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, size: int, th
                 c = b.slice(k, 200)
                 sets = [run_hashes(t.as_py(), size).view(np.int64) for t in c.column(1)]
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+        give_back()
 
-    sides = pairs.select("*", F.explode(F.array("a", "b")).alias("node"))
-    asked = in_reach(first.join(sides.select("node").distinct(), "node", "left_semi"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = in_reach(first.join(nodes, "node", "left_semi"))
     sets = docs.join(asked, "rid").select("node", "text").mapInArrow(mapped, "node long, s array<long>").dropDuplicates(["node"])
-    both = sides.join(sets, "node").groupBy(*pairs.columns).agg(F.collect_list("s").alias("s"))
-    left, right = F.col("s")[0], F.col("s")[1]
-    same = F.size(F.array_intersect(left, right))
-    return both.where((F.size("s") == 2) & (same >= (F.size(left) + F.size(right) - same) * threshold - 1e-9)).select(*pairs.columns)
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}"))
+    same = F.size(F.array_intersect("s_a", "s_b"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(same >= (F.size("s_a") + F.size("s_b") - same) * threshold - 1e-9).select(*pairs.columns)
 
 
 def _plausible(a: str, b: str, threshold: float) -> Column:
