@@ -51,9 +51,6 @@ from tessera.llm._common import give_back, pieces_for, stored
 RISKY = re.compile(r" (?=\s|\Z)")
 #: Letters whose classes are the same in every Unicode version that a library may hold.
 USUAL = "ɏ"
-#: A word with signs and another line's first word: pre-tokens that are remembered one by one. Apostrophes and digits are left to the tokenizer.
-_L, _P = "[A-Za-zÀ-ÖØ-öø-ÿ]+", '[]!"#$%&()*+,./:;<=>?@[^_`{|}~-]+'
-PARTS = re.compile(rf"( ?{_L})({_P})?(?:(\n)({_L})({_P})?)?")
 #: Stands between words while a text is cut.
 CUT = "\x1f"
 
@@ -77,19 +74,20 @@ class Words(dict):
 
 
 class Encoder:
-    """Ids as tokenizers gives them, by word: a byte-level BPE splits before each space between words, so words repeat and are remembered.
+    """Ids as tokenizers gives them.
 
     ``ranks_path`` may name the same vocabulary in tiktoken's form, which is
-    faster for the words that are not remembered; words with unusual letters,
-    texts with runs of white space and texts that hold a special token's string go
-    through tokenizers itself.
+    faster: texts of usual letters go through it, about ``piece`` characters at a time, cut before
+    a space between words, where a byte-level BPE splits anyway. In texts with other
+    letters, words repeat and are remembered. Texts with runs of white space and texts
+    that hold a special token's string go through tokenizers itself.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None, memory: int = 600_000):
+    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None, memory: int = 100_000, piece: int = 1 << 18):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.whole, self.piece = Tokenizer.from_file(path), piece
         self.dtype = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.dtype == "<u2" else "I"
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
@@ -106,20 +104,29 @@ class Encoder:
     def _slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _fast(self, text: str) -> bytes:
+        return array(self.code, self.quick.encode_ordinary(text)).tobytes()
+
     def _word(self, word: str) -> bytes:
         if not word:
             return b""
-        if (m := PARTS.fullmatch(word)) and m.lastindex > 1:
-            return b"".join(self.words[p] for p in m.groups() if p)
-        if self.quick and max(word) <= USUAL:
-            return array(self.code, self.quick.encode_ordinary(word)).tobytes()
-        return self._slow(word)
+        return self._fast(word) if self.quick and max(word) <= USUAL else self._slow(word)
+
+    def _pieces(self, text: str) -> Iterator[str]:
+        at = 0
+        while at < len(text):
+            end = text.find(" ", at + self.piece)
+            end = len(text) if end < 0 else end
+            yield text[at:end]
+            at = end
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if CUT in text or RISKY.search(text) or (self.special and self.special.search(text)):
             return self._slow(text)
+        if self.quick and max(text) <= USUAL:
+            return b"".join(map(self._fast, self._pieces(text)))
         return b"".join(map(self.words.__getitem__, text.replace(" ", f"{CUT} ").split(CUT)))
 
 
@@ -133,6 +140,12 @@ def encoder(*key: str | None) -> Encoder:
     return _MADE[key]
 
 
+def forget() -> None:
+    """A worker that packs needs no encoder."""
+    _MADE.clear()
+    give_back()
+
+
 def tokenised(docs: DataFrame, lanes: int, path: str, ranks_path: str | None, pattern: str | None, separator: int) -> DataFrame:
     """lane, doc_id, source, n (with the separator), ids (packed)."""
 
@@ -243,6 +256,7 @@ def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str
                     column.append(value)
                 start += take
                 room -= take
+        forget()
         return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
