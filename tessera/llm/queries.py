@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import block_join, kdtree, language_model, line_dedup, mixing, packing, simhash, surrogates, token_count, toxicity
+from tessera.llm import block_join, conversation_repair, fill_middle, kdtree, language_model, line_dedup, mixing, packing, simhash, surrogates, token_count, token_files, toxicity
 from tessera.llm._common import table
 
 
@@ -63,6 +63,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(rows, conversation_repair.damaged(rows))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform(table(spark, sf_dir, "documents"), with_output=False)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_model": op2_language_model,
@@ -74,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_join": op8_block_join,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_token_files": op13_token_files,
 }
 
 #: Vectors as in tessera.llm.vectors.usable.
@@ -93,4 +110,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL.format(**BOILERPLATE),
     "op6_kdtree": USABLE.format(each="list_transform(embedding, lambda x: floor(x::DOUBLE * 1024))", more="", score="list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT", order="DESC"),
     "op8_block_join": USABLE.format(each="embedding::DOUBLE[]", more="AND len(list_filter(embedding, lambda x: x <> 0)) > 0", score="sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))", order="ASC"),
+    "op11_conversation_repair": conversation_repair.SQL,
+    "op12_fill_middle": fill_middle.SQL,
 }
