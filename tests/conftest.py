@@ -33,8 +33,10 @@ def canonical(frame):
     """Rows as sorted tuples over columns by name, doubles to 9 digits."""
     import math
 
+    import pandas as pd
+
     def cell(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
         if hasattr(v, "item") and not isinstance(v, (list, dict)) and getattr(v, "ndim", 0) == 0:
             v = v.item()
