@@ -76,6 +76,11 @@ def _signed(values: tuple[int, ...]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+def _row_hash() -> Column:
+    """The hash skips nulls, so that of (a, null) and (null, a) would be one without the flags."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def _profiles(docs: DataFrame, size: int) -> DataFrame:
     """rid, doc_id, fp, and of the set of runs: its hash, its size, its signature. docs: rid, doc_id, text."""
 
@@ -206,7 +211,7 @@ def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int,
 def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, threshold: float = 0.8, **how: int) -> DataFrame:
     """docs, columns as before, with one row of each group."""
     parts = pieces_for(docs, 8 << 20)
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
+    rows = docs.select(_row_hash().alias("rid"), "doc_id", "text")
     profiles = cut(_profiles(rows, size))
     printed = cut(profiles.select("fp", "node").distinct())
     hub = cut(printed.groupBy("fp").agg(F.min("node").alias("hub")))  # a fingerprint stands for its smallest set
@@ -222,7 +227,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, threshold:
     stays = of_node.groupBy(F.coalesce("whole", "of").alias("whole")).agg(F.min("m").alias("m")).select(F.col("m.rid").alias("rid"))
     times = profiles.groupBy("rid").agg(F.count("*").alias("times"))
     stays = cut(stays.join(times, "rid"))
-    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.struct("*").alias("row"))
+    whole = docs.select(_row_hash().alias("rid"), F.struct("*").alias("row"))
     once = whole.join(in_reach(stays.where("times = 1").select("rid")), "rid", "left_semi")
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(32)).cast("int")
     salted = in_reach(stays.where("times > 1").select("rid", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt")))

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import block_join, kdtree, language_model, line_dedup, mixing, packing, simhash, surrogates, token_count, toxicity
+from tessera.llm import block_join, kdtree, language_model, line_dedup, mixing, packing, similar, simhash, surrogates, token_count, toxicity
 
 BYTE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 CLASHING = ("key", "score", "row", "rid", "fp", "block", "lane", "kept_text", "kept_lines", "boiler_g", "text_hash", "n", "ids", "epoch", "held_out", "shard", "n_tokens", "_text", "h", "t")
@@ -84,3 +84,9 @@ def test_vectors(spark, search):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("mine") for c in (*CLASHING, "v", "q", "query_id", "side", "dim", "kth")})
     assert [(r.query_id, r.rank, r.vec_id) for r in search(df).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     assert search(df.limit(0)).collect() == []
+
+
+def test_near_duplicates_keep_rows_told_apart_by_their_nulls(spark):
+    docs = spark.createDataFrame([("alpha", None), (None, "alpha"), ("b", "other words stand in this text")], "doc_id string, text string").withColumn("n_chars", F.lit(1))
+    rows = similar.one_of_each(docs).select("doc_id", "text").collect()
+    assert {tuple(r) for r in rows} == {("alpha", None), (None, "alpha"), ("b", "other words stand in this text")}
