@@ -1,9 +1,9 @@
 """Sampling, quotas, ratios and splits, all in seeded hash order.
 
 Python's random draws cannot be repeated in SQL; sizes, proportions and
-determinism are kept, by the order of md5(seed:id). Ranks are taken within
-strata; where a stratum is a large part of all rows, ``threshold_sample`` takes
-a share without ranking.
+determinism are kept, by the order of md5(seed:id). Quotas of strata are exact
+and rank only the rows where they end (``order.taken``), so a stratum may hold any share of
+all rows; ``threshold_sample`` takes a share without counting.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.order import hash_order, positions
+from tessera.operators.components import _kept
+from tessera.operators.order import hash_order, positions, taken
 
 
-def _rank(strata: list[str], seed: int, key: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*strata).orderBy(hash_order(seed, key), key))
+def _first(df: DataFrame, by: list[str], quotas: DataFrame, seed: int, key: str) -> DataFrame:
+    return taken(df, by, quotas, seed, key).where("_in").drop("_in")
 
 
 def threshold_sample(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
@@ -28,7 +29,7 @@ def cap_per_group(df: DataFrame, group: str, caps: dict[str, int], default: int,
     cap = F.lit(default)
     for name, n in caps.items():
         cap = F.when(F.col(group) == name, n).otherwise(cap)
-    return df.withColumn("_r", _rank([group], seed, key)).where(F.col("_r") <= cap).drop("_r")
+    return _first(df, [group], df.select(group).distinct().select(group, cap.alias("quota")), seed, key)
 
 
 def quotas(counts: DataFrame, total: int, small: int) -> DataFrame:
@@ -45,14 +46,13 @@ def quotas(counts: DataFrame, total: int, small: int) -> DataFrame:
 def stratified(df: DataFrame, bucket: str, total: int, small: int, key: str, seed: int = 42) -> DataFrame:
     """W10."""
     counts = df.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"))
-    q = quotas(counts, total, small).select(F.col("bucket").alias(bucket), "quota")
-    return df.join(q, bucket).withColumn("_r", _rank([bucket], seed, key)).where(F.col("_r") <= F.col("quota")).drop("_r", "quota")
+    return _first(df, [bucket], quotas(counts, total, small).select(F.col("bucket").alias(bucket), "quota"), seed, key)
 
 
 def equal_per_bucket(df: DataFrame, bucket: Column, values: list[object], total: int, key: str, seed: int = 42) -> DataFrame:
     """Total // len(values) rows of each listed bucket."""
     out = df.withColumn("bucket", bucket).where(F.col("bucket").isin(values))
-    return out.withColumn("_r", _rank(["bucket"], seed, key)).where(F.col("_r") <= total // len(values)).drop("_r")
+    return _first(out, ["bucket"], out.select("bucket").distinct().withColumn("quota", F.lit(total // len(values))), seed, key)
 
 
 def proportional(df: DataFrame, domain: str, target: int, key: str, seed: int = 42) -> DataFrame:
@@ -61,8 +61,8 @@ def proportional(df: DataFrame, domain: str, target: int, key: str, seed: int =
     total = counts.agg(F.sum("_n").alias("_all"))
     q = counts.crossJoin(F.broadcast(total)).withColumn("_q", F.least(F.col("_n"), F.greatest(F.lit(1), F.bround(F.col("_n") / F.col("_all") * target).cast("long"))))
     upto = F.sum("_q").over(Window.orderBy(domain).rowsBetween(Window.unboundedPreceding, -1))  # one row for each domain
-    q = q.withColumn("_q", F.greatest(F.lit(0), F.least(F.col("_q"), target - F.coalesce(upto, F.lit(0))))).select(domain, "_q")
-    return df.join(q, domain).withColumn("_r", _rank([domain], seed, key)).where(F.col("_r") <= F.col("_q")).drop("_r", "_q")
+    q = q.withColumn("quota", F.greatest(F.lit(0), F.least(F.col("_q"), target - F.coalesce(upto, F.lit(0))))).select(domain, "quota")
+    return _first(df.where(F.col(domain).isNotNull()), [domain], q, seed, key)
 
 
 def weighted(df: DataFrame, weight: Column, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -73,12 +73,16 @@ def weighted(df: DataFrame, weight: Column, n: int, key: str, seed: int = 42) ->
 
 def enforce_ratio(df: DataFrame, kind: str, first: str, second: str, ratio: tuple[float, float], key: str, seed: int = 42) -> DataFrame:
     """The class that is too large is cut down to ratio; nothing is cut where one class is missing."""
-    n = df.agg(F.count(F.when(F.col(kind) == first, 1)).alias("_a"), F.count(F.when(F.col(kind) == second, 1)).alias("_b"))
-    a, b = F.col("_a"), F.col("_b")
+    of = F.col(kind)
+    n = df.agg(F.count(F.when(of == first, 1)).alias("a"), F.count(F.when(of == second, 1)).alias("b"))
+    a, b = F.col("a"), F.col("b")
     most_b, most_a = F.bround(a * (ratio[1] / ratio[0])).cast("long"), F.bround(b * (ratio[0] / ratio[1])).cast("long")
-    cap = F.when((a == 0) | (b == 0), None).when((F.col(kind) == second) & (b > most_b), most_b).when((F.col(kind) == first) & (b <= most_b) & (a > most_a), most_a)
-    out = df.where(F.col(kind).isin(first, second)).crossJoin(F.broadcast(n)).withColumn("_cap", cap).withColumn("_r", _rank([kind], seed, key))
-    return out.where(F.col("_cap").isNull() | (F.col("_r") <= F.col("_cap"))).drop("_a", "_b", "_cap", "_r")
+    none = (a == 0) | (b == 0)
+    pair = F.array(
+        F.struct(F.lit(first).alias(kind), F.when(none | (b > most_b), a).otherwise(F.least(a, most_a)).alias("quota")),
+        F.struct(F.lit(second).alias(kind), F.when(none, b).otherwise(F.least(b, most_b)).alias("quota")),
+    )
+    return _first(df.where(of.isin(first, second)), [kind], n.select(F.explode(pair).alias("q")).select("q.*"), seed, key)
 
 
 def split_by_position(df: DataFrame, key: str, shares: tuple[float, float] = (0.8, 0.1), seed: int = 42) -> DataFrame:
@@ -92,8 +96,9 @@ def split_by_position(df: DataFrame, key: str, shares: tuple[float, float] = (0.
 
 def split_stratified(df: DataFrame, stream: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Of each stream max(1, round half even of share) rows are train, the others val."""
-    n = F.count("*").over(Window.partitionBy(stream))
-    return df.withColumn("split", F.when(_rank([stream], seed, key) <= F.greatest(F.lit(1), F.bround(n * share).cast("long")), "train").otherwise("val"))
+    counts = df.groupBy(stream).agg(F.count("*").alias("n"))
+    q = counts.select(stream, F.greatest(F.lit(1), F.bround(F.col("n") * share).cast("long")).alias("quota"))
+    return taken(df, [stream], q, seed, key).withColumn("split", F.when(F.col("_in"), "train").otherwise("val")).drop("_in")
 
 
 def interleaved(first: DataFrame, second: DataFrame, n: int, share: float, key: str, seed: int = 42) -> DataFrame:
@@ -122,6 +127,9 @@ def tier_mix(df: DataFrame, tier: str, shares: dict[str, float], total: int, key
     want = F.lit(0)
     for name, s in shares.items():
         want = F.when(F.col(tier) == name, round(s * total)).otherwise(want)
-    n = F.count("*").over(Window.partitionBy(tier))
-    out = df.where(F.col(tier).isin(*shares)).withColumn("_want", want).withColumn("_n", n).withColumn("_r", _rank([tier], seed, key) - 1).where(F.col("_r") < F.col("_want"))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("_want") - 1 - F.col("_r")) / F.col("_n")).cast("int")))).drop("_want", "_n", "_r")
+    rows = df.where(F.col(tier).isin(*shares))
+    n = rows.groupBy(tier).agg(F.count("*").alias("_n")).withColumn("_times", F.floor(want / F.col("_n")).cast("int")).withColumn("quota", (want % F.col("_n")).cast("long"))
+    n = _kept(n)  # one row for each tier
+    marked = taken(rows, [tier], n.select(tier, "quota"), seed, key).join(F.broadcast(n.select(tier, "_times")), tier)
+    copies = F.col("_times") + F.col("_in").cast("int")
+    return marked.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).select(*df.columns, "copy")
