@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.components import _kept, components
+from tessera.operators.components import _kept, _written, components
 from tessera.operators.order import first_of_key
 
 
@@ -15,27 +14,56 @@ def exact(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return first_of_key(df, key, order)
 
 
-def dual_key(df: DataFrame, first: str, second: str, seq: str) -> DataFrame:
-    """Rows in order of seq; a row is accepted if neither of its keys was registered, and only then registers both.
+def dual_key(df: DataFrame, first: str, second: str, seq: str, plain_rounds: int = 2) -> DataFrame:
+    """Rows in order of seq (unique); a row is accepted if neither of its keys was registered, and only then registers both.
 
-    Rows that share no key, even over others, cannot influence each other, so the
-    order-dependent pass runs for each connected component of keys apart.
+    In rounds over the rows that are undecided: rows that are the first for both of
+    their keys are accepted, and those that share a key with an accepted one are out. Where a
+    row has a single earlier rival left, its fate is the opposite of that one's; such
+    rows form trees, which pointer jumping settles in logarithmically many
+    joins, so a long chain of rows that decide each other takes few rounds. Only
+    minima by key are taken, so a key of very many rows is combined before it moves.
+    A null key is no key: it neither registers nor meets another. Nothing is collected.
     """
-    keys = df.select(seq, F.concat(F.lit("1:"), F.col(first)).alias("a"), F.concat(F.lit("2:"), F.col(second)).alias("b"))
-    roots = components(keys.select("a", "b"))
-    rows = keys.join(roots, keys.a == roots.node).select(seq, "a", "b", "root")
-
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen_a, seen_b, keep = set(), set(), []
-        for s, a, b in pdf.sort_values(seq)[[seq, "a", "b"]].itertuples(index=False):
-            if a not in seen_a and b not in seen_b:
-                seen_a.add(a)
-                seen_b.add(b)
-                keep.append(s)
-        return pd.DataFrame({seq: keep})
-
-    kept = rows.groupBy("root").applyInPandas(accept, f"{seq} {dict(df.dtypes)[seq]}")
-    return df.join(kept, seq, "left_semi")
+    rows = df.select(F.col(seq).alias("s"), F.col(first).alias("a"), F.col(second).alias("b"))
+    # a null key is a key of the row's own
+    own = lambda c: F.struct(F.col(c).alias("k"), F.when(F.col(c).isNull(), F.col("s")).alias("s"))
+    digest = lambda c: F.sha2(F.to_json(own(c)), 256)
+    left, accepted, done = _written(rows.select("s", digest("a").alias("a"), digest("b").alias("b"))), None, 0
+    while not left.isEmpty():
+        yes, no = _settled(left, jump=done >= plain_rounds)
+        accepted = yes.select("s") if accepted is None else accepted.unionByName(yes.select("s"))
+        for c in "ab":
+            left = left.join(yes.select(c), c, "left_anti")
+        left, done = _written(left if no is None else left.join(no, "s", "left_anti")), done + 1
+    return df.limit(0) if accepted is None else df.join(accepted.withColumnRenamed("s", seq), seq, "left_semi")
+
+
+def _settled(left: DataFrame, jump: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Of undecided rows s, a, b: those that are accepted now, and with jump those known to be out."""
+    told = left
+    for c in "ab":
+        told = told.join(left.groupBy(c).agg(F.min("s").alias(f"{c}1")), c)
+    heads = (F.col("s") == F.col("a1")) & (F.col("s") == F.col("b1"))
+    if not jump:
+        return _written(told.where(heads).select("s", "a", "b")), None
+    told = _written(told)
+    for c in "ab":
+        told = told.join(told.where(F.col("s") != F.col(f"{c}1")).groupBy(c).agg(F.min("s").alias(f"{c}2")), c, "left")
+    first, second = ({c: F.col("s") == F.col(f"{c}{k}") for c in "ab"} for k in (1, 2))
+    rival = F.when(first["a"] & second["b"], F.col("b1")).when(second["a"] & first["b"], F.col("a1")).when(second["a"] & second["b"] & (F.col("a1") == F.col("b1")), F.col("a1"))
+    told = _written(told.select("s", "a", "b", heads.alias("head"), rival.alias("to")))
+    links = told.where("to IS NOT NULL").select("s", "to", F.lit(True).alias("odd"))
+    while True:  # each round doubles how far a link reaches
+        links = _written(links)
+        nexts = links.select(F.col("s").alias("to"), F.col("to").alias("then"), F.col("odd").alias("more"))
+        far = links.join(nexts, "to", "left")
+        if far.where("then IS NOT NULL").isEmpty():
+            break
+        links = far.select("s", F.coalesce("then", "to").alias("to"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"))
+    known = links.join(told.where("head").select(F.col("s").alias("to")), "to", "left_semi")
+    good = told.where("head").select("s", "a", "b").unionByName(told.join(known.where("NOT odd"), "s", "left_semi").select("s", "a", "b"))
+    return _written(good), known.where("odd").select("s")
 
 
 def shingles(text: Column, size: int) -> Column:

@@ -253,7 +253,13 @@ def neardup_clusters(spark, sf_dir):
     return dedup.clusters(docs, "doc_id", F.col("text"))
 
 
-@query()
+@query("""
+WITH RECURSIVE k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, sha256(string_split(text, chr(10))[1]) AS a, sha256(string_split(text, chr(10))[-1]) AS b FROM documents),
+r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen_a, []::VARCHAR[] AS seen_b, false AS kept
+  UNION ALL SELECT k.i, CASE WHEN ok THEN list_append(seen_a, a) ELSE seen_a END, CASE WHEN ok THEN list_append(seen_b, b) ELSE seen_b END, ok
+  FROM r JOIN k ON k.i = r.i + 1, LATERAL (SELECT NOT list_contains(seen_a, a) AND NOT list_contains(seen_b, b) AS ok) o)
+SELECT doc_id, a, b FROM k JOIN r USING (i) WHERE kept
+""")
 def dual_key_dedup(spark, sf_dir):
     """First line and last line of a text are its keys."""
     (docs,) = tables(spark, sf_dir, "documents")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.functions import stats
+from tessera.functions import resampling, stats
 from tessera.operators import labels, metrics
 from tessera.plans._registry import query, tables
 
@@ -209,17 +208,52 @@ def tost_welch(spark, sf_dir):
 
 @query()
 def bootstrap_spearman_delta(spark, sf_dir):
-    """Does price follow quantity better than discount does."""
+    """Does price follow quantity better than discount does; every line item is an item of its own."""
     (li,) = tables(spark, sf_dir, "lineitem")
-    rows = li.select("l_suppkey", *(F.col(c).cast("double") for c in ("l_extendedprice", "l_quantity", "l_discount")))
-    return stats.bootstrap(rows, ["l_suppkey"], ["l_extendedprice", "l_quantity", "l_discount"], stats.spearman_delta)
+    rows = li.select("l_suppkey", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("item"), "l_extendedprice", "l_quantity", "l_discount")
+    found = resampling.resampled(rows, ["l_suppkey"], "item", {"near": ("l_extendedprice", "l_quantity"), "far": ("l_extendedprice", "l_discount")}, {})
+    return resampling.bounds(found, ["l_suppkey"], F.col("near") - F.col("far"))
 
 
-@query()
+_DRAWS, _HASH, _WEIGHT = resampling.weights_sql("doc_id", 200)
+
+
+@query(f"""
+WITH {_DRAWS}, t AS (SELECT source, n_chars::DOUBLE AS v, {_HASH} AS h FROM documents WHERE n_chars IS NOT NULL),
+m AS (SELECT source, replicate, sum(w * v) / sum(w) AS m FROM (SELECT source, replicate, v, {_WEIGHT} AS w FROM t, d) GROUP BY ALL)
+SELECT source, round(max(m) FILTER (replicate < 0), 6) AS estimate, round(quantile_cont(m, 0.025) FILTER (replicate >= 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (replicate >= 0), 6) AS high FROM m GROUP BY source
+""")
 def bootstrap_mean(spark, sf_dir):
     """C22."""
     (docs,) = tables(spark, sf_dir, "documents")
-    return stats.bootstrap(docs.select("source", F.col("n_chars").cast("double")), ["source"], ["n_chars"], lambda x: float(np.mean(x[:, 0])), resamples=200)
+    found = resampling.resampled(docs, ["source"], "doc_id", {}, {"mean": "n_chars"}, resamples=200)
+    return SIX(resampling.bounds(found, ["source"], F.col("mean")), "estimate", "low", "high")
+
+
+_DRAWS, _HASH, _WEIGHT = resampling.weights_sql("l_orderkey", 1000)
+_RANK = "sum(sum(w)) OVER (PARTITION BY k, replicate ORDER BY {0}) - (sum(w) - 1) / 2.0"
+
+
+@query(f"""
+WITH {_DRAWS}, common AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) = 7),
+t AS (SELECT l_linenumber AS k, l_extendedprice::DOUBLE AS x, l_quantity::DOUBLE AS y, l_discount::DOUBLE AS z, {_HASH} AS h FROM lineitem SEMI JOIN common USING (l_orderkey)),
+e AS (SELECT k, replicate, x, y, z, {_WEIGHT} AS w FROM t, d),
+rx AS (SELECT k, replicate, x, {_RANK.format("x")} AS a FROM e WHERE w > 0 GROUP BY k, replicate, x),
+ry AS (SELECT k, replicate, y, {_RANK.format("y")} AS b FROM e WHERE w > 0 GROUP BY k, replicate, y),
+c AS (SELECT k, replicate, (sum(w * a * b) - n * m * m) / sqrt((sum(w * a * a) - n * m * m) * (sum(w * b * b) - n * m * m)) AS rho, zm AS reward
+  FROM (SELECT *, sum(w) OVER g AS n, (sum(w) OVER g + 1) / 2.0 AS m, sum(w * z) OVER g / sum(w) OVER g AS zm FROM e WHERE w > 0 WINDOW g AS (PARTITION BY k, replicate)) JOIN rx USING (k, replicate, x) JOIN ry USING (k, replicate, y) GROUP BY k, replicate, n, m, zm),
+o AS (SELECT replicate, coalesce(corr(a, b), 0) AS rho FROM (SELECT replicate, rank() OVER (PARTITION BY replicate ORDER BY round(rho, 9)) + (count(*) OVER (PARTITION BY replicate, round(rho, 9)) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY replicate ORDER BY round(reward, 9)) + (count(*) OVER (PARTITION BY replicate, round(reward, 9)) - 1) / 2.0 AS b FROM c) GROUP BY replicate)
+SELECT round(max(rho) FILTER (replicate < 0), 6) AS estimate, round(quantile_cont(rho, 0.025) FILTER (replicate >= 0), 6) AS low, round(quantile_cont(rho, 0.975) FILTER (replicate >= 0), 6) AS high FROM o
+""")
+def reward_oracle(spark, sf_dir):
+    """Does mean reward follow judging quality over checkpoints; items that all have are resampled jointly. A checkpoint is a line number, an item an order with all seven."""
+    (li,) = tables(spark, sf_dir, "lineitem")
+    common = li.groupBy("l_orderkey").agg(F.count_distinct("l_linenumber").alias("n")).where("n = 7").select("l_orderkey")
+    rows = li.join(common, "l_orderkey", "left_semi")
+    found = resampling.resampled(rows, ["l_linenumber"], "l_orderkey", {"rho": ("l_extendedprice", "l_quantity")}, {"reward": "l_discount"}, resamples=1000)
+    over = stats.spearman(found.withColumns({c: F.round(c, 9) for c in ("rho", "reward")}), ["replicate"], "rho", "reward").select("replicate", "rho")
+    return SIX(resampling.bounds(over.withColumn("all", F.lit(0)), ["all"], F.col("rho")).drop("all"), "estimate", "low", "high")
 
 
 @query("""
