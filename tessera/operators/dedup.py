@@ -77,36 +77,92 @@ def shingles(text: Column, size: int) -> Column:
     return F.get(F.transform(F.array(words), runs), 0)  # bound once: an expression within a lambda is evaluated for each element
 
 
+def run_hashes(text: Column, size: int) -> Column:
+    """Sorted distinct hashes of the runs of size words, from one hash a word; a shorter text is one run, an empty one has none."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+    def runs(h: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, size)))
+        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(each)))
+
+    return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), 0)  # bound once
+
+
+def _sets(df: DataFrame, key: str, text: Column, size: int) -> DataFrame:
+    """k and s, the run hashes of each row's text, written once. A table in fewer pieces than there are cores is dealt over them first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return _written(df.select(F.col(key).alias("k"), run_hashes(text, size).alias("s")))
+
+
+def _similar(reps: DataFrame, threshold: float, links_only: bool = False, crowd: int = 50) -> DataFrame:
+    """a, b, jaccard of distinct sets (k, s): of all pairs at or above threshold, or with links_only of enough to connect them.
+
+    Runs are ordered by how many sets have them, rarest first, and of a set of n only the
+    first n - ceil(threshold * n) + 1 can be the first run that it shares with a similar one.
+    Runs of one set alone are never listed; they only use up places. A pair is met at each
+    run that both prefixes hold, with the places of it in both; it goes on if the sizes fit
+    and if what is left behind those places can still make up the overlap (the
+    positional filter), and is compared once. A run in more than ``crowd`` prefixes is
+    split: two sets that agree on it agree on one more of their prefixes, each a
+    place longer, so they meet by both runs. With links_only such a crowd first meets one
+    of its own, and crowds that this connects are done.
+    """
+    if threshold <= 0.5:
+        raise ValueError("with a threshold of a half or less a pair may share a single run")
+    sized = reps.select("k", F.size("s").alias("n"), "s")
+    often = _written(sized.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    shared = sized.select("k", "n", F.explode("s").alias("h")).join(often, "h").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("hs"))
+    shared = shared.withColumn("alone", F.col("n") - F.size("hs")).withColumn("p", (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int") - F.col("alone")).where("p > 0")
+    listed = _written(shared.withColumn("hs", F.slice("hs", F.lit(1), F.col("p") + 1)))
+    placed = listed.select("k", "n", "alone", "p", F.transform("hs", lambda x: x["h"]).alias("hs")).select("k", "n", "alone", "p", "hs", F.posexplode("hs").alias("i", "x")).where(F.col("i") < F.col("p"))
+    crowds = _written(placed.groupBy("x").agg(F.count("*").alias("m"), F.min("k").alias("one")).where("m > 1"))
+    rows = placed.join(crowds, "x").select("x", "m", "one", "k", "n", (F.col("alone") + F.col("i")).alias("at"), "hs")
+    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9))
+    side = lambda df, name, *on: df.select(*on, F.col("k").alias(name), F.col("n").alias(f"n{name}"), F.col("at").alias(f"i{name}"))
+    small, large = rows.where(F.col("m") <= crowd), rows.where(F.col("m") > crowd)
+    met = side(small, "a", "x").join(side(small, "b", "x"), "x").where(fits & (F.col("a") < F.col("b"))).select("a", "b")
+    if links_only:
+        centre = large.where(F.col("k") == F.col("one"))
+        star = side(centre, "a", "x").join(side(large, "b", "x"), "x").where("a <> b").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = _written(_compared(star, sized, threshold))
+        hop = found.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("to"))
+        named = large.join(hop, "k", "left").withColumn("to", F.coalesce("to", "k"))
+        open_ = named.groupBy("x").agg(F.min("to").alias("low"), F.max("to").alias("high")).where("low <> high").select("x")
+        large = large.where(F.col("k") != F.col("one")).join(open_, "x", "left_semi")  # the centre has met all of its crowd
+    pairs = large.withColumn("y", F.explode(F.filter("hs", lambda h: h != F.col("x")))).drop("hs")
+    met = met.unionByName(side(pairs, "a", "x", "y").join(side(pairs, "b", "x", "y"), ["x", "y"]).where(fits & (F.col("a") < F.col("b"))).select("a", "b"))
+    out = _compared(met.distinct(), sized, threshold)
+    return out.unionByName(found) if links_only else out
+
+
+def _compared(pairs: DataFrame, sized: DataFrame, threshold: float) -> DataFrame:
+    """a, b, jaccard of the pairs at or above threshold: each set travels once to each set it may be similar to."""
+    of = lambda c: sized.select(F.col("k").alias(c), F.col("s").alias(f"s{c}"))
+    same = F.size(F.array_intersect("sa", "sb"))
+    both = _written(pairs).join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", (same / (F.size("sa") + F.size("sb") - same)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+
+
 def jaccard_pairs(df: DataFrame, key: str, text: Column, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """A, b and jaccard of the distinct texts' pairs at or above threshold, exactly.
 
-    Prefix filter: runs are ordered by how many texts have them, rarest first; two
-    sets as similar as threshold share one of the first n - ceil(threshold*n) + 1
-    runs of each. Equal run sets are joined once, by their smallest key, so groups
-    of copies make no pairs here (see clusters).
+    Equal run sets are joined once, by their smallest key, so groups of copies make no
+    pairs here (see clusters). Null and empty texts have no runs and no pairs.
     """
-    sets = df.select(F.col(key).alias("k"), F.transform(shingles(text, size), lambda s: F.xxhash64(s)).alias("s")).where(F.size("s") > 0)
-    reps = _kept(sets.withColumn("s", F.array_sort(F.array_distinct("s"))).groupBy("s").agg(F.min("k").alias("k")))
-    often = reps.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    ranked = reps.select("k", F.size("s").alias("len"), F.explode("s").alias("h")).join(often.where("n > 1"), "h", "left")
-    listed = ranked.groupBy("k", "len").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "h"))).alias("hs"))
-    prefix = listed.select("k", "len", F.explode(F.slice("hs", F.lit(1), (F.col("len") - F.ceil(F.col("len") * threshold) + 1).cast("int"))).alias("x")).select("k", "len", F.col("x.h").alias("h"), F.col("x.n").alias("n")).where("n > 1")
-    a, b = prefix.select(F.col("k").alias("a"), F.col("len").alias("la"), "h"), prefix.select(F.col("k").alias("b"), F.col("len").alias("lb"), "h")
-    near_size = (F.least("la", "lb") >= F.greatest("la", "lb") * threshold) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, "h").where(near_size).select("a", "b").distinct()
-    left, right = reps.select(F.col("k").alias("a"), F.col("s").alias("sa")), reps.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    reps = _written(_sets(df, key, text, size).where(F.size("s") > 0).groupBy("s").agg(F.min("k").alias("k")))
+    return _similar(reps, threshold)
 
 
 def clusters(df: DataFrame, key: str, text: Column, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Key, cluster_id (the smallest key of its cluster) and kept. Equal run sets belong together; so do similar ones, over any number of steps."""
-    sets = _kept(df.select(F.col(key).alias("k"), F.array_sort(F.transform(shingles(text, size), lambda s: F.xxhash64(s))).alias("s")))
-    sets = sets.withColumn("h", F.when(F.size("s") > 0, F.xxhash64("s")).otherwise(F.col("k").cast("long")))
-    same = sets.groupBy("s", "h").agg(F.min("k").alias("rep"))
-    members = sets.where(F.size("s") > 0).join(same.where(F.size("s") > 0).select("s", "rep"), "s").select("k", "rep").unionByName(sets.where(F.size("s") == 0).select("k", F.col("k").alias("rep")))
-    roots = components(jaccard_pairs(df, key, text, size, threshold).select("a", "b"))
+    """Key, cluster_id (the smallest key of its cluster) and kept. Equal run sets belong together; so do similar ones, over any number of steps. A text without runs is a cluster of its own."""
+    sets = _sets(df, key, text, size)
+    own = sets.where(F.coalesce(F.size("s"), F.lit(0)) <= 0).select("k", F.col("k").alias("rep"))
+    some = sets.where(F.size("s") > 0)
+    reps = _written(some.groupBy("s").agg(F.min("k").alias("k")))
+    members = some.join(reps.select("s", F.col("k").alias("rep")), "s").select("k", "rep").unionByName(own)
+    roots = components(_similar(reps, threshold, links_only=True).select("a", "b"))
     least = roots.groupBy("root").agg(F.min("node").alias("cluster_id"))
     named = roots.join(least, "root").select(F.col("node").alias("rep"), "cluster_id")
     out = members.join(named, "rep", "left").select(F.col("k").alias(key), F.coalesce("cluster_id", "rep").alias("cluster_id"))

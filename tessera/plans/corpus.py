@@ -246,7 +246,17 @@ def neardup_jaccard(spark, sf_dir):
     return dedup.jaccard_pairs(docs, "doc_id", F.col("text")).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)])) AS s FROM w WHERE len(w) > 0),
+r AS (SELECT s, min(doc_id) AS k FROM s GROUP BY s),
+e AS (SELECT k, len(s) AS n, unnest(s) AS x FROM r),
+p AS (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.x = b.x AND a.k <> b.k GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.8),
+t AS (SELECT k AS node, k AS root FROM r UNION SELECT p.b, t.root FROM t JOIN p ON t.node = p.a),
+c AS (SELECT node, min(root) AS root FROM t GROUP BY node)
+SELECT w.doc_id, coalesce(c.root, w.doc_id) AS cluster_id, w.doc_id = coalesce(c.root, w.doc_id) AS kept
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN r ON r.s = s.s LEFT JOIN c ON c.node = r.k
+""")
 def neardup_clusters(spark, sf_dir):
     """D02."""
     (docs,) = tables(spark, sf_dir, "documents")

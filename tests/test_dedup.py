@@ -34,3 +34,71 @@ def test_dual_key_over_a_long_chain(spark):
     df = spark.range(n).select(F.col("id").alias("s"), F.floor(F.col("id") / 2).alias("a"), F.floor((F.col("id") + 1) / 2).alias("b"))
     out = dedup.dual_key(df, "a", "b", "s")
     assert out.count() == n // 2 and out.where("s % 2 = 1").isEmpty()
+
+
+def runs(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else frozenset()
+
+
+def similar_texts(seed=1):
+    """Texts of common paragraphs, near copies in chains, copies, short and empty ones."""
+    draw = random.Random(seed)
+    paragraphs = [" ".join(f"w{draw.randint(0, 300)}" for _ in range(40)) for _ in range(12)]
+    texts = [" ".join(draw.sample(paragraphs, draw.randint(1, 4))) for _ in range(60)]
+    for _ in range(80):
+        words = draw.choice(texts).split()
+        for _ in range(draw.randint(0, 4)):
+            words[draw.randrange(len(words))] = f"n{draw.randint(0, 9)}"
+        texts.append(" ".join(words))
+    return [*texts, *texts[:5], "", None, "one two", "ONE  two", "one two three four five", "one two three four five six"]
+
+
+@pytest.mark.parametrize("crowd", [2, 50])
+def test_similar_sets(spark, crowd):
+    texts = similar_texts()
+    sets = {}
+    for k, t in enumerate(texts):
+        if runs(t):
+            sets.setdefault(runs(t), k)
+    want = {}
+    reps = sorted((k, s) for s, k in sets.items())
+    for i, (a, x) in enumerate(reps):
+        for b, y in reps[i + 1 :]:
+            if len(x & y) / len(x | y) >= 0.8:
+                want[a, b] = len(x & y) / len(x | y)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = dedup._sets(df, "id", F.col("text"), 5).where(F.size("s") > 0).groupBy("s").agg(F.min("k").alias("k"))
+    got = {(r.a, r.b): r.jaccard for r in dedup._similar(found, 0.8, crowd=crowd).collect()}
+    assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+    def roots(links):
+        of = {k: k for k, _ in reps}
+
+        def root(k):
+            while of[k] != k:
+                k = of[k]
+            return k
+
+        for a, b in links:
+            a, b = sorted((root(a), root(b)))
+            of[b] = a
+        return {k: root(k) for k in of}
+
+    links = [(r.a, r.b) for r in dedup._similar(found, 0.8, links_only=True, crowd=crowd).collect()]
+    assert set(links) <= want.keys() and roots(links) == roots(want)
+    named = {r.id: r.cluster_id for r in dedup.clusters(df, "id", F.col("text")).collect()}
+    by_rep = roots(want)
+    assert named == {k: by_rep[sets[runs(t)]] if runs(t) else k for k, t in enumerate(texts)}
+
+
+def test_a_common_run_makes_no_pairs(spark):
+    """3,000 texts share one run and nothing else; a crowd of copies with one word changed is linked by its centre."""
+    rows = [(k, f"the same five words here a{k} b{k} c{k}") for k in range(3000)]
+    long = " ".join(f"w{j}" for j in range(100))
+    rows += [(10_000 + k, f"{long} end{k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    reps = dedup._sets(df, "id", F.col("text"), 5).groupBy("s").agg(F.min("k").alias("k"))
+    links = dedup._similar(reps, 0.8, links_only=True)
+    assert links.count() < 1000
+    assert dedup.clusters(df, "id", F.col("text")).where("kept").count() == 3001
