@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,12 +92,15 @@ def run_hashes(text: Column, size: int) -> Column:
     return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), 0)  # bound once
 
 
-def _sets(df: DataFrame, key: str, text: Column, size: int) -> DataFrame:
-    """k and s, the run hashes of each row's text, written once. A table in fewer pieces than there are cores is dealt over them first."""
+def _over_cores(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores is dealt over them; larger ones stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return _written(df.select(F.col(key).alias("k"), run_hashes(text, size).alias("s")))
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _sets(df: DataFrame, key: str, text: Column, size: int) -> DataFrame:
+    """k and s, the run hashes of each row's text, written once."""
+    return _written(_over_cores(df).select(F.col(key).alias("k"), run_hashes(text, size).alias("s")))
 
 
 def _similar(reps: DataFrame, threshold: float, links_only: bool = False, crowd: int = 50) -> DataFrame:
@@ -169,27 +176,75 @@ def clusters(df: DataFrame, key: str, text: Column, size: int = 5, threshold: fl
     return out.withColumn("kept", F.col(key) == F.col("cluster_id"))
 
 
-def contained(df: DataFrame, key: str, text: Column, passages: DataFrame, pid: str, passage: Column, size: int = 8) -> DataFrame:
-    """J08, decontamination: key and pid where the text holds the passage.
+def _in_pieces(patterns: DataFrame, column: str, most_chars: int) -> Iterator[list]:
+    """The rows of a small table in lists of about most_chars characters, dealt by hash, so that one list at a time is in memory; their size is counted first."""
+    chars = patterns.agg(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]
+    pieces = max(1, -(-chars // most_chars))
+    for k in range(pieces):
+        yield patterns.where(F.pmod(F.xxhash64(*patterns.columns), F.lit(pieces)) == k).collect()
+
 
-    A passage is looked up by its first `size` words (all, if it has fewer), an
-    equi-join on their hash, then compared as text. Passages are matched at word
-    boundaries.
+def contained(df: DataFrame, key: str, text: Column, passages: DataFrame, pid: str, passage: Column, most_chars: int = 1 << 24) -> DataFrame:
+    """J08, decontamination: the distinct key and pid where the text holds the passage, inside words too; empty and null passages are nowhere.
+
+    All passages are looked for at once, by an Aho-Corasick automaton that each worker
+    builds from a broadcast list, so a text is read once and never moves. Passages are
+    counted first; beyond most_chars of them, lists of that size take turns.
+    """
+    p = _written(passages.select(F.col(pid).alias("pid"), passage.alias("p")).where(F.length("p") > 0).distinct())
+    rows = _over_cores(df).select(F.col(key).alias("k"), text.alias("t"))
+    kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((rows, "k"), (p, "pid"))}
+    pid_type = p.select("pid").limit(0).toArrow().schema.field("pid").type
+    spark, out = df.sparkSession, None
+    for found in _in_pieces(p, "p", most_chars):
+        by_text: dict[str, list] = {}
+        for r in found:
+            by_text.setdefault(r.p, []).append(r.pid)
+        held = spark.sparkContext.broadcast(by_text)
+
+        def looked_up(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for words, pids in held.value.items():
+                automaton.add_word(words, pids)
+            automaton.make_automaton()
+            for b in batches:
+                at, pids = [], []
+                for i, t in enumerate(b.column(1)):
+                    for one in {x for _, xs in automaton.iter(t.as_py() or "") for x in xs} if len(automaton) else ():
+                        at.append(i)
+                        pids.append(one)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(pids, pid_type)], names=["k", "pid"])
+
+        each = rows.mapInArrow(looked_up, f"k {kinds['k']}, pid {kinds['pid']}")
+        out = each if out is None else out.unionByName(each)
+    return out.distinct().select(F.col("k").alias(key), F.col("pid").alias(pid))
+
+
+def names_within(names: DataFrame, name: str, texts: DataFrame, text: Column, least: int = 7, most_chars: int = 1 << 22, noise: tuple[str, ...] = ()) -> DataFrame:
+    """J08, names in a suite: distinct names of at least `least` characters that some text holds, and genuine: at least 12 characters with an underscore, and not among the noise.
+
+    Names are many and texts few, so texts are broadcast with the places of their runs
+    of `least` characters, and a name looks only where its first ones are. Texts are
+    counted first; beyond most_chars of them, lists of that size take turns.
     """
-    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    p = passages.select(F.col(pid), passage.alias("_p"), words(passage).alias("_w")).where(F.size("_w") > 0)
-    p = p.withColumn("_n", F.least(F.size("_w"), F.lit(size))).withColumn("_h", F.xxhash64(F.array_join(F.slice("_w", 1, size), " ")))
-    sizes = [r[0] for r in p.select("_n").distinct().limit(size).collect()]  # at most `size` numbers
-    rows = df.select(F.col(key), text.alias("_t"), words(text).alias("_v"))
-
-    def runs_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_v") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_v", i, n), " ")))
-
-    runs = [runs_of(n) for n in sizes]
-    hashes = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<bigint>")
-    found = rows.select(key, F.explode(hashes).alias("_h")).join(p.select(pid, "_h"), "_h").select(key, pid).distinct()
-    checked = found.join(df.select(F.col(key), text.alias("_t")), key).join(p.select(pid, "_p"), pid)
-    return checked.where(F.col("_t").contains(F.col("_p"))).select(key, pid)
+    rows = names.select(F.col(name).cast("string").alias("name")).where(F.length(name) >= least).distinct()
+    spark, out = names.sparkSession, None
+    for found in _in_pieces(texts.select(text.alias("t")).where("t IS NOT NULL").distinct(), "t", most_chars):
+        held = spark.sparkContext.broadcast([r.t for r in found])
+
+        def looked_up(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            places: dict[str, list] = {}
+            for t in held.value:
+                for i in range(len(t) - least + 1):
+                    places.setdefault(t[i : i + least], []).append((t, i))
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([n for n in b.column(0).to_pylist() if any(t.startswith(n, i) for t, i in places.get(n[:least], ()))], pa.string())], names=["name"])
+
+        each = rows.mapInArrow(looked_up, "name string")
+        out = each if out is None else out.unionByName(each)
+    return out.distinct().withColumn("genuine", (F.length("name") >= 12) & F.contains("name", F.lit("_")) & ~F.col("name").isin(*noise))
 
 
 def leakage(df: DataFrame, key: Column, order: list[str], held_out: DataFrame, held_key: Column) -> DataFrame:

@@ -62,6 +62,20 @@ def decontaminate_benchmark(spark, sf_dir):
     return dedup.contained(docs, "doc_id", F.col("text"), bench, "item_id", F.trim("text"))
 
 
+NOISE = ("benchmark_suite", "description")
+
+
+@query(f"""
+WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_]+')) AS name FROM documents)
+SELECT name, length(name) >= 12 AND contains(name, '_') AND name NOT IN {NOISE} AS genuine FROM n WHERE length(name) >= 7 AND EXISTS (SELECT 1 FROM benchmark b WHERE contains(b.text, n.name))
+""")
+def names_in_benchmark(spark, sf_dir):
+    """Names from texts that the benchmark holds, also inside its words."""
+    docs, bench = tables(spark, sf_dir, "documents", "benchmark")
+    names = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_]+"), F.lit(0))).alias("name"))
+    return dedup.names_within(names, "name", bench, F.col("text"), noise=NOISE)
+
+
 @query("""
 WITH h AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 10 = 0), t AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0),
 r AS (SELECT t.*, CASE WHEN h.h IS NOT NULL THEN 'leak' WHEN row_number() OVER (PARTITION BY t.h ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'accepted' END AS reason FROM t LEFT JOIN h ON t.h = h.h)

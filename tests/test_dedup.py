@@ -102,3 +102,24 @@ def test_a_common_run_makes_no_pairs(spark):
     links = dedup._similar(reps, 0.8, links_only=True)
     assert links.count() < 1000
     assert dedup.clusters(df, "id", F.col("text")).where("kept").count() == 3001
+
+
+@pytest.mark.parametrize("most_chars", [10, 1 << 24])
+def test_contained_equals_contains(spark, most_chars):
+    """Hits inside words, passages within passages, one passage under two ids, nulls, and lists that take turns."""
+    draw = random.Random(2)
+    texts = ["".join(draw.choice("ab é") for _ in range(30)) for _ in range(80)] + ["", None, "xpassagey"]
+    passages = [("p1", "ab"), ("p2", "ab"), ("p3", "b a"), ("p4", "éa"), ("p5", ""), ("p6", None), ("p7", "passage"), ("p8", "abab"), ("p9", "nowhere")]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "id long, text string")
+    p = spark.createDataFrame(passages, "pid string, p string")
+    got = sorted(tuple(r) for r in dedup.contained(df, "id", F.col("text"), p, "pid", F.col("p"), most_chars).collect())
+    assert got == sorted((i, k) for i, t in enumerate(texts) for k, x in passages if t and x and x in t)
+    assert dedup.contained(df, "id", F.col("text"), p.limit(0), "pid", F.col("p")).collect() == []
+
+
+@pytest.mark.parametrize("most_chars", [10, 1 << 22])
+def test_names_within(spark, most_chars):
+    names = spark.createDataFrame([("get_user_profile",), ("get_user_profile",), ("add_action",), ("short",), (None,), ("save_post_meta_x",), ("register_script",)], "n string")
+    texts = spark.createDataFrame([("calls get_user_profiles( $x )",), ("an add_action and register_script here",), (None,), ("",)], "t string")
+    got = {r.name: r.genuine for r in dedup.names_within(names, "n", texts, F.col("t"), most_chars=most_chars, noise=("register_script",)).collect()}
+    assert got == {"get_user_profile": True, "add_action": False, "register_script": False}
