@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -103,12 +105,55 @@ def _sets(df: DataFrame, key: str, text: Column, size: int) -> DataFrame:
     return _written(_over_cores(df).select(F.col(key).alias("k"), run_hashes(text, size).alias("s")))
 
 
-def _similar(reps: DataFrame, threshold: float, links_only: bool = False, crowd: int = 50) -> DataFrame:
+def _representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the sets that are not empty, each once, with its smallest key; and k, rep for every key. Sets are compared by 128 bits of hashes and stay where they are."""
+    some = sets.where(F.size("s") > 0)
+    narrow = some.select("k", F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.reverse("s")).alias("g"))
+    same = narrow.groupBy("n", "h", "g").agg(F.min("k").alias("rep"))
+    of = _written(narrow.join(same, ["n", "h", "g"]).select("k", "rep"))
+    return some.join(of.where("k = rep").select("k"), "k", "left_semi"), of
+
+
+def _prefixes(reps: DataFrame, threshold: float, common: np.ndarray, whole: bool = False) -> DataFrame:
+    """x, k, n, at: the runs in the prefix of each set (k, s) and their places; with whole k and hs, the prefix and one run more.
+
+    The order of runs: those that are not common by their hash, then the common ones, the rarest first.
+    """
+    held, rank = np.sort(common), np.argsort(common, kind="stable")
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            lists, ends = b.column(1), b.column(1).offsets.to_numpy()
+            every = lists.values.to_numpy()
+            late = np.zeros(len(every), np.int64)
+            if held.size:
+                at = np.minimum(np.searchsorted(held, every), held.size - 1)
+                late = np.where(held[at] == every, rank[at] + 1, 0)
+            runs, lengths = [], []
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                n = j - i
+                p = n - math.ceil(n * threshold - 1e-9) + 1 + whole
+                runs.append(every[i:j][np.lexsort((every[i:j], late[i:j]))][:p])
+                lengths.append(len(runs[-1]))
+            flat = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+            if whole:
+                offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["k", "hs"])
+            else:
+                row = np.repeat(np.arange(b.num_rows), lengths)
+                places = np.concatenate([np.arange(m) for m in lengths]) if lengths else row
+                yield pa.RecordBatch.from_arrays([pa.array(flat), b.column(0).take(pa.array(row)), pa.array(np.diff(ends)[row], pa.int32()), pa.array(places, pa.int32())], names=["x", "k", "n", "at"])
+
+    kind = reps.schema["k"].dataType.simpleString()
+    return reps.select("k", "s").mapInArrow(mapped, f"k {kind}, hs array<bigint>" if whole else f"x bigint, k {kind}, n int, at int")
+
+
+def _similar(reps: DataFrame, threshold: float, links_only: bool = False, crowd: int = 50, sample: int = 64, most_common: int = 100_000) -> DataFrame:
     """a, b, jaccard of distinct sets (k, s): of all pairs at or above threshold, or with links_only of enough to connect them.
 
-    Runs are ordered by how many sets have them, rarest first, and of a set of n only the
-    first n - ceil(threshold * n) + 1 can be the first run that it shares with a similar one.
-    Runs of one set alone are never listed; they only use up places. A pair is met at each
+    In any order of runs, a set of n has the first run that it shares with a similar one
+    among its first n - ceil(threshold * n) + 1; the order puts runs last that a sample of
+    sets has often, which only saves comparisons. A pair is met at each
     run that both prefixes hold, with the places of it in both; it goes on if the sizes fit
     and if what is left behind those places can still make up the overlap (the
     positional filter), and is compared once. A run in more than ``crowd`` prefixes is
@@ -118,35 +163,36 @@ def _similar(reps: DataFrame, threshold: float, links_only: bool = False, crowd:
     """
     if threshold <= 0.5:
         raise ValueError("with a threshold of a half or less a pair may share a single run")
-    sized = reps.select("k", F.size("s").alias("n"), "s")
-    often = _written(sized.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
-    shared = sized.select("k", "n", F.explode("s").alias("h")).join(often, "h").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("hs"))
-    shared = shared.withColumn("alone", F.col("n") - F.size("hs")).withColumn("p", (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int") - F.col("alone")).where("p > 0")
-    listed = _written(shared.withColumn("hs", F.slice("hs", F.lit(1), F.col("p") + 1)))
-    placed = listed.select("k", "n", "alone", "p", F.transform("hs", lambda x: x["h"]).alias("hs")).select("k", "n", "alone", "p", "hs", F.posexplode("hs").alias("i", "x")).where(F.col("i") < F.col("p"))
+    some = reps.where(F.pmod(F.xxhash64("k"), F.lit(sample)) == 0).select(F.explode("s").alias("h"))
+    often = some.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(most_common).select("h").toArrow()
+    common = often.column("h").to_numpy()[::-1].copy()
+    placed = _written(_prefixes(reps, threshold, common))
     crowds = _written(placed.groupBy("x").agg(F.count("*").alias("m"), F.min("k").alias("one")).where("m > 1"))
-    rows = placed.join(crowds, "x").select("x", "m", "one", "k", "n", (F.col("alone") + F.col("i")).alias("at"), "hs")
+    rows = _written(placed.join(crowds, "x"))
     fits = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9))
     side = lambda df, name, *on: df.select(*on, F.col("k").alias(name), F.col("n").alias(f"n{name}"), F.col("at").alias(f"i{name}"))
     small, large = rows.where(F.col("m") <= crowd), rows.where(F.col("m") > crowd)
     met = side(small, "a", "x").join(side(small, "b", "x"), "x").where(fits & (F.col("a") < F.col("b"))).select("a", "b")
-    if links_only:
-        centre = large.where(F.col("k") == F.col("one"))
-        star = side(centre, "a", "x").join(side(large, "b", "x"), "x").where("a <> b").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = _written(_compared(star, sized, threshold))
-        hop = found.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("to"))
-        named = large.join(hop, "k", "left").withColumn("to", F.coalesce("to", "k"))
-        open_ = named.groupBy("x").agg(F.min("to").alias("low"), F.max("to").alias("high")).where("low <> high").select("x")
-        large = large.where(F.col("k") != F.col("one")).join(open_, "x", "left_semi")  # the centre has met all of its crowd
-    pairs = large.withColumn("y", F.explode(F.filter("hs", lambda h: h != F.col("x")))).drop("hs")
-    met = met.unionByName(side(pairs, "a", "x", "y").join(side(pairs, "b", "x", "y"), ["x", "y"]).where(fits & (F.col("a") < F.col("b"))).select("a", "b"))
-    out = _compared(met.distinct(), sized, threshold)
-    return out.unionByName(found) if links_only else out
-
-
-def _compared(pairs: DataFrame, sized: DataFrame, threshold: float) -> DataFrame:
+    found = None
+    if not large.isEmpty():
+        if links_only:
+            centre = large.where(F.col("k") == F.col("one"))
+            star = side(centre, "a", "x").join(side(large, "b", "x"), "x").where("a <> b").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            found = _written(_compared(star, reps, threshold))
+            hop = found.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("to"))
+            named = large.join(hop, "k", "left").withColumn("to", F.coalesce("to", "k"))
+            open_ = named.groupBy("x").agg(F.min("to").alias("low"), F.max("to").alias("high")).where("low <> high").select("x")
+            large = _written(large.where(F.col("k") != F.col("one")).join(open_, "x", "left_semi"))  # the centre has met all of its crowd
+        lists = _prefixes(reps.join(large.select("k").distinct(), "k", "left_semi"), threshold, common, whole=True)
+        pairs = large.join(lists, "k").withColumn("y", F.explode(F.filter("hs", lambda h: h != F.col("x")))).drop("hs")
+        met = met.unionByName(side(pairs, "a", "x", "y").join(side(pairs, "b", "x", "y"), ["x", "y"]).where(fits & (F.col("a") < F.col("b"))).select("a", "b"))
+    out = _compared(met.distinct(), reps, threshold)
+    return out if found is None else out.unionByName(found)
+
+
+def _compared(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """a, b, jaccard of the pairs at or above threshold: each set travels once to each set it may be similar to."""
-    of = lambda c: sized.select(F.col("k").alias(c), F.col("s").alias(f"s{c}"))
+    of = lambda c: reps.select(F.col("k").alias(c), F.col("s").alias(f"s{c}"))
     same = F.size(F.array_intersect("sa", "sb"))
     both = _written(pairs).join(of("a"), "a").join(of("b"), "b")
     return both.select("a", "b", (same / (F.size("sa") + F.size("sb") - same)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
@@ -158,7 +204,7 @@ def jaccard_pairs(df: DataFrame, key: str, text: Column, size: int = 5, threshol
     Equal run sets are joined once, by their smallest key, so groups of copies make no
     pairs here (see clusters). Null and empty texts have no runs and no pairs.
     """
-    reps = _written(_sets(df, key, text, size).where(F.size("s") > 0).groupBy("s").agg(F.min("k").alias("k")))
+    reps, _ = _representatives(_sets(df, key, text, size))
     return _similar(reps, threshold)
 
 
@@ -166,9 +212,8 @@ def clusters(df: DataFrame, key: str, text: Column, size: int = 5, threshold: fl
     """Key, cluster_id (the smallest key of its cluster) and kept. Equal run sets belong together; so do similar ones, over any number of steps. A text without runs is a cluster of its own."""
     sets = _sets(df, key, text, size)
     own = sets.where(F.coalesce(F.size("s"), F.lit(0)) <= 0).select("k", F.col("k").alias("rep"))
-    some = sets.where(F.size("s") > 0)
-    reps = _written(some.groupBy("s").agg(F.min("k").alias("k")))
-    members = some.join(reps.select("s", F.col("k").alias("rep")), "s").select("k", "rep").unionByName(own)
+    reps, of = _representatives(sets)
+    members = of.unionByName(own)
     roots = components(_similar(reps, threshold, links_only=True).select("a", "b"))
     least = roots.groupBy("root").agg(F.min("node").alias("cluster_id"))
     named = roots.join(least, "root").select(F.col("node").alias("rep"), "cluster_id")

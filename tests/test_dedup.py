@@ -68,7 +68,7 @@ def test_similar_sets(spark, crowd):
             if len(x & y) / len(x | y) >= 0.8:
                 want[a, b] = len(x & y) / len(x | y)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    found = dedup._sets(df, "id", F.col("text"), 5).where(F.size("s") > 0).groupBy("s").agg(F.min("k").alias("k"))
+    found, _ = dedup._representatives(dedup._sets(df, "id", F.col("text"), 5))
     got = {(r.a, r.b): r.jaccard for r in dedup._similar(found, 0.8, crowd=crowd).collect()}
     assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
@@ -98,7 +98,7 @@ def test_a_common_run_makes_no_pairs(spark):
     long = " ".join(f"w{j}" for j in range(100))
     rows += [(10_000 + k, f"{long} end{k}") for k in range(400)]
     df = spark.createDataFrame(rows, "id long, text string")
-    reps = dedup._sets(df, "id", F.col("text"), 5).groupBy("s").agg(F.min("k").alias("k"))
+    reps, _ = dedup._representatives(dedup._sets(df, "id", F.col("text"), 5))
     links = dedup._similar(reps, 0.8, links_only=True)
     assert links.count() < 1000
     assert dedup.clusters(df, "id", F.col("text")).where("kept").count() == 3001
