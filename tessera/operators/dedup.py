@@ -111,7 +111,13 @@ def _representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     narrow = some.select("k", F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.reverse("s")).alias("g"))
     same = narrow.groupBy("n", "h", "g").agg(F.min("k").alias("rep"))
     of = _written(narrow.join(same, ["n", "h", "g"]).select("k", "rep"))
-    return some.join(of.where("k = rep").select("k"), "k", "left_semi"), of
+    return _of_keys(some, of.where("k = rep").select("k")), of
+
+
+def _of_keys(sets: DataFrame, keys: DataFrame, most: int = 400_000) -> DataFrame:
+    """The sets of some keys. These are counted: up to `most` they are broadcast and sets stay where they are, beyond that Spark deals both by key."""
+    held = _written(keys)
+    return sets.join(F.broadcast(held) if held.count() <= most else held, "k", "left_semi")
 
 
 def _prefixes(reps: DataFrame, threshold: float, common: np.ndarray, whole: bool = False) -> DataFrame:
@@ -183,7 +189,7 @@ def _similar(reps: DataFrame, threshold: float, links_only: bool = False, crowd:
             named = large.join(hop, "k", "left").withColumn("to", F.coalesce("to", "k"))
             open_ = named.groupBy("x").agg(F.min("to").alias("low"), F.max("to").alias("high")).where("low <> high").select("x")
             large = _written(large.where(F.col("k") != F.col("one")).join(open_, "x", "left_semi"))  # the centre has met all of its crowd
-        lists = _prefixes(reps.join(large.select("k").distinct(), "k", "left_semi"), threshold, common, whole=True)
+        lists = _prefixes(_of_keys(reps, large.select("k").distinct()), threshold, common, whole=True)
         pairs = large.join(lists, "k").withColumn("y", F.explode(F.filter("hs", lambda h: h != F.col("x")))).drop("hs")
         met = met.unionByName(side(pairs, "a", "x", "y").join(side(pairs, "b", "x", "y"), ["x", "y"]).where(fits & (F.col("a") < F.col("b"))).select("a", "b"))
     out = _compared(met.distinct(), reps, threshold)
@@ -191,10 +197,12 @@ def _similar(reps: DataFrame, threshold: float, links_only: bool = False, crowd:
 
 
 def _compared(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """a, b, jaccard of the pairs at or above threshold: each set travels once to each set it may be similar to."""
-    of = lambda c: reps.select(F.col("k").alias(c), F.col("s").alias(f"s{c}"))
+    """a, b, jaccard of the pairs at or above threshold: only sets that are in a pair move."""
+    pairs = _written(pairs)
+    asked = _of_keys(reps, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    of = lambda c: asked.select(F.col("k").alias(c), F.col("s").alias(f"s{c}"))
     same = F.size(F.array_intersect("sa", "sb"))
-    both = _written(pairs).join(of("a"), "a").join(of("b"), "b")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     return both.select("a", "b", (same / (F.size("sa") + F.size("sb") - same)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 
 
