@@ -89,6 +89,11 @@ def resampled(df: DataFrame, by: list[str], item: str, pairs: dict[str, tuple[st
     return out
 
 
+def rank_correlation(df: DataFrame, by: list[str], item: str, x: str, y: str, degenerate: float | None = None) -> DataFrame:
+    """by, rho: Spearman's of the rows themselves, without a window over a group: large groups are ranked over range partitions."""
+    return resampled(df, by, item, {"rho": (x, y)}, {}, resamples=0, degenerate=degenerate).drop("replicate")
+
+
 def _of(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     theirs = groups.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)))
     return rows.join(theirs, reduce(lambda x, i: x & F.col(by[i]).eqNullSafe(F.col(f"_g{i}")), range(len(by)), F.lit(True)), "left_semi")

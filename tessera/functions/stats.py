@@ -260,8 +260,8 @@ def pair_agreement(df: DataFrame, by: list[str], gt: str, model: str, key: str,
 
     def counted(rows: DataFrame, within: list[str]) -> DataFrame:
         def differing(r: DataFrame, name: str) -> DataFrame:
-            same = r.groupBy(*within, gt).agg(F.count("*").alias("c"))
-            c, n = F.col("c"), F.sum("c")
+            same = r.groupBy(*within, gt).agg(F.count("*").alias("_c"))
+            c, n = F.col("_c"), F.sum("_c")
             return same.groupBy(*within).agg(((n * n - F.sum(c * c)) / 2).cast("long").alias(name))
 
         judged = rows.where(_known(model))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.resampling import rank_correlation
+
 
 def covered(wanted: DataFrame, have: DataFrame, key: str, group: str) -> DataFrame:
     """How many wanted ids and groups there are, how many ids are there already, and in how many groups all are."""
@@ -57,26 +59,14 @@ def batch_acceptance(df: DataFrame, batch: str, valid: Column, dims_filled: Colu
     return out.withColumn("accepted", (F.col("valid") >= least_valid) & (F.col("filled") >= least_filled) & (F.col("abstained") < most_abstained))
 
 
-def _ranked(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Average ranks within by, from counts of values: narrow rows, one for each value of a group."""
-    from pyspark.sql import Window
-
-    out = df
-    for c in columns:
-        sizes = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = sizes.select(*by, c, (before + (F.col("_n") + 1) / 2).alias(f"_{c}"))
-        out = out.join(ranks, [*by, c])
-    return out
-
-
 def fidelity(a: DataFrame, b: DataFrame, key: str, by: list[str], verdict: str, score: str, least_coverage: float = 0.9, least_agreement: float = 0.9, least_rho: float = 0.8) -> DataFrame:
     """Two models on the same rows: coverage of a's rows, share of equal verdicts, Spearman's rho of scores, and whether all three reach their floors."""
     all_rows = a.groupBy(*by).agg(F.count("*").alias("rows"))
     both = a.select(key, *by, F.col(verdict).alias("va"), F.col(score).cast("double").alias("sa")).join(b.select(key, F.col(verdict).alias("vb"), F.col(score).cast("double").alias("sb")), key)
     both = both.where(F.col("sa").isNotNull() & F.col("sb").isNotNull())
-    got = _ranked(both, by, ["sa", "sb"]).groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("va") == F.col("vb")).cast("double")).alias("agreement"), F.corr("_sa", "_sb").alias("rho"))
-    out = all_rows.join(got, by, "left").withColumn("coverage", F.coalesce(F.col("n"), F.lit(0)) / F.col("rows"))
+    got = both.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("va") == F.col("vb")).cast("double")).alias("agreement"))
+    rho = rank_correlation(both, by, key, "sa", "sb")
+    out = all_rows.join(got, by, "left").join(rho, by, "left").withColumn("coverage", F.coalesce(F.col("n"), F.lit(0)) / F.col("rows"))
     ok = (F.col("coverage") >= least_coverage) & (F.col("agreement") >= least_agreement) & (F.col("rho") >= least_rho)
     return out.select(*by, "rows", "coverage", "agreement", "rho", F.coalesce(ok, F.lit(False)).alias("passed"))
 
@@ -84,8 +74,15 @@ def fidelity(a: DataFrame, b: DataFrame, key: str, by: list[str], verdict: str,
 def seed_ensemble(df: DataFrame, item: str, seed: str, truth: str, score: str) -> DataFrame:
     """A row for each seed and one, "ensemble", for the items' medians over seeds: n, the share that parsed, and Spearman's rho with the truth."""
     rows = df.select(item, F.col(seed).cast("string").alias("seed"), F.col(truth).cast("double").alias("t"), F.col(score).cast("double").alias("s"))
-    medians = rows.groupBy(item).agg(F.first("t").alias("t"), F.median("s").alias("s")).select(item, F.lit("ensemble").alias("seed"), "t", "s")
+    medians = rows.groupBy(item).agg(F.min("t").alias("t"), F.median("s").alias("s")).select(item, F.lit("ensemble").alias("seed"), "t", "s")
     every = rows.unionByName(medians)
     rates = every.groupBy("seed").agg(F.count("*").alias("n"), F.avg(F.col("s").isNotNull().cast("double")).alias("parse_rate"))
-    rho = _ranked(every.where(F.col("s").isNotNull() & F.col("t").isNotNull()), ["seed"], ["t", "s"]).groupBy("seed").agg(F.corr("_t", "_s").alias("rho"))
-    return rates.join(rho, "seed", "left")
+    return rates.join(rank_correlation(every, ["seed"], item, "t", "s"), "seed", "left")
+
+
+def dimension_means(df: DataFrame, item: str, seed: str, dim: str, score: str) -> DataFrame:
+    """Of each dimension items, the number that any seed gave a score, and mean, the mean of their medians over seeds."""
+    number = F.col(score).cast("double")
+    rows = df.where(number.isNotNull() & ~F.isnan(number) & F.col(item).isNotNull() & F.col(seed).isNotNull())
+    medians = rows.groupBy(dim, item).agg(F.median(number).alias("s"))
+    return medians.groupBy(dim).agg(F.count("*").alias("items"), F.avg("s").alias("mean"))

@@ -270,3 +270,15 @@ def seed_ensembles(spark, sf_dir):
     rows = li.groupBy("l_partkey", "l_linenumber", "l_quantity").agg(F.when(F.col("l_quantity") % 9 != 0, F.avg("l_quantity")).alias("s"))
     out = coverage.seed_ensemble(rows.withColumn("t", F.col("l_partkey") % 101), "l_partkey", "l_linenumber", "t", "s")
     return out.select("seed", "n", F.round("parse_rate", 6).alias("parse_rate"), F.round("rho", 6).alias("rho"))
+
+
+@query("""
+WITH m AS (SELECT l_partkey AS item, dim, median(v) AS s FROM (SELECT l_partkey, unnest(['quantity', 'discount']) AS dim, unnest([CASE WHEN l_quantity % 9 <> 0 THEN l_quantity END, l_discount * 100]) AS v FROM lineitem) WHERE v IS NOT NULL GROUP BY 1, 2)
+SELECT dim, count(*) AS items, round(avg(s), 6) AS mean FROM m GROUP BY dim
+""")
+def dimension_means(spark, sf_dir):
+    """Parts are items and line numbers seeds; quantities divisible by nine could not be parsed."""
+    (li,) = tables(spark, sf_dir, "lineitem")
+    given = F.array(*(F.struct(F.lit(n).alias("dim"), c.alias("v")) for n, c in (("quantity", F.when(F.col("l_quantity") % 9 != 0, F.col("l_quantity"))), ("discount", F.col("l_discount") * 100))))
+    out = coverage.dimension_means(li.select("l_partkey", "l_linenumber", F.inline(given)), "l_partkey", "l_linenumber", "dim", "v")
+    return out.withColumn("mean", F.round("mean", 6))
