@@ -77,7 +77,7 @@ def values(rows: list[np.ndarray], labels: np.ndarray, width: int, soft: float)
     return q / (q + soft)
 
 
-def learn(rows: list[np.ndarray], labels: np.ndarray, width: int, soft: float = 20.0, rank: int = 8, epochs: int = 5, least_steps: int = 200, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+def learn(rows: list[np.ndarray], labels: np.ndarray, width: int, soft: float = 20.0, rank: int = 8, epochs: int = 12, least_steps: int = 200, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and factors by AdaGrad on the logistic loss. rows: the places of each text's terms."""
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(width, np.float32), rng.normal(0, 0.02, (width, rank)).astype(np.float32), 0.0
