@@ -19,13 +19,14 @@ from tessera.operators import rubric
 
 
 class Found(NamedTuple):
-    """A predicate: whether pattern is found, at least `least` times, in a text from which what `without` matches is taken out first."""
+    """A predicate: whether pattern is found, at least `least` times, in a text from which what `without` matches is taken out first, or anywhere after the first match of `after`."""
 
     pattern: str
     flags: str = ""
     without: str = ""
     least: int = 1
     text: str = "body"
+    after: str = ""
 
 
 class Step(NamedTuple):
@@ -49,7 +50,7 @@ class Judge:
     auto_fail: tuple[str, float, str] | None = None
 
 
-# Patterns, deductions and names of the judge of single functions.
+# Patterns (of the lower-case text where case does not matter), deductions and names of the judge of single functions.
 AGENT_STARTS = {
     "wpcs_compliance": 9, "sql_safety": 10, "security": 9, "performance": 9, "wp_api_usage": 9,
     "code_quality": 9, "dependency_integrity": 9, "i18n": 8, "accessibility": 8,
@@ -60,7 +61,7 @@ AGENT_PREDICATES = {
     "inline_style": Found(r"style="),
     "outputs_somehow": Found(r"echo|\?>"),
     "queries": Found(r"\$wpdb\s*->\s*(query|get_results|get_row|get_col|get_var)"),
-    "speaks_sql": Found(r"SELECT |INSERT INTO|UPDATE |DELETE FROM", "i"),
+    "speaks_sql": Found(r"select |insert into|update |delete from", text="low"),
     "prepares": Found(r"\$wpdb\s*->\s*prepare\s*\("),
     "interpolates": Found(r"""\$wpdb\s*->\s*(query|get_results|get_row|get_col|get_var)\s*\(\s*["'].*?\$""", "s"),
     "concatenates": Found(r"""\$wpdb\s*->\s*(query|get_results|get_row|get_col|get_var)\s*\(\s*["'][^"']*\s*\.\s*\$"""),
@@ -79,17 +80,17 @@ AGENT_PREDICATES = {
     "filesystem_api": Found(r"WP_Filesystem|wp_filesystem"),
     "request_in_query": Found(r"\$wpdb.*query.*\$_(GET|POST|REQUEST)", "s"),
     "db_in_loop": Found(r"(foreach|for|while)\s*\([^)]+\)\s*\{[^}]*\$wpdb"),
-    "posts_in_loop": Found(r"(foreach|for|while).*?(new\s+WP_Query|get_posts\s*\(|wp_get_post_terms|get_post_meta)", "s"),
-    "whole_meta": Found(r"SELECT\s+\*\s+FROM\s+\w*(meta|options)", "i"),
-    "limited": Found(r"LIMIT\s+\d+", "i"),
+    "posts_in_loop": Found(r"new\s+WP_Query|get_posts\s*\(|wp_get_post_terms|get_post_meta", after="foreach|for|while"),
+    "whole_meta": Found(r"select\s+\*\s+from\s+\w*(meta|options)", text="low"),
+    "limited": Found(r"limit\s+\d+", text="low"),
     "endless": Found(r"while\s*\(\s*true\s*\)"),
-    "selects_posts": Found(r"SELECT.*FROM.*wp_posts", "i"),
+    "selects_posts": Found(r"select.*from.*wp_posts", text="low"),
     "posts_api": Found(r"WP_Query|get_posts"),
     "adds_route": Found(r"register_rest_route\s*\("),
     "permission": Found(r"permission_callback"),
     "adds_post_type": Found(r"register_post_type\s*\("),
     "labels_given": Found(r"labels"),
-    "reminders": Found(r"//.*(?:TODO|FIXME|HACK|XXX|TEMP)", "i", least=4),
+    "reminders": Found(r"//.*(?:todo|fixme|hack|xxx|temp)", text="low", least=4),
     "returns_twice": Found(r"return\s*;.*return\s*;", "s"),
     "swallows": Found(r"catch\s*\([^)]+\)\s*\{\s*\}"),
     "globals": Found(r"\bglobal\s+\$\w+", least=4),
@@ -101,13 +102,13 @@ AGENT_PREDICATES = {
     "translates": Found(r"\b__\s*\(|\b_e\s*\(|\besc_html__\s*\(|\besc_html_e\s*\(|\besc_attr__\s*\(|\b_n\s*\(|\b_x\s*\("),
     "hardcodes": Found(r"""(?:echo|print)\s+["'][A-Za-z][A-Za-z\s]{3,}["']"""),
     "markup": Found(r"<[a-zA-Z][^>]*>|echo\s+.*<\w"),
-    "input_field": Found(r"<input[^>]+>", "i"),
-    "label_for": Found(r"<label[^>]*for=|<label[^>]*htmlFor=", "i"),
-    "aria_label": Found(r"aria-label=|aria-labelledby=", "i"),
-    "hidden_input": Found(r"""<input[^>]+type=["']hidden["']""", "i"),
-    "image": Found(r"<img[^>]+>", "i"),
-    "alternative": Found(r"alt=", "i"),
-    "aria": Found(r"aria-|role=", "i"),
+    "input_field": Found(r"<input[^>]+>", text="low"),
+    "label_for": Found(r"<label[^>]*for=|<label[^>]*htmlfor=", text="low"),
+    "aria_label": Found(r"aria-label=|aria-labelledby=", text="low"),
+    "hidden_input": Found(r"""<input[^>]+type=["']hidden["']""", text="low"),
+    "image": Found(r"<img[^>]+>", text="low"),
+    "alternative": Found(r"alt=", text="low"),
+    "aria": Found(r"aria-|role=", text="low"),
     "screen_reader": Found(r"screen-reader-text|sr-only"),
 }
 AGENT_STEPS = (
@@ -193,6 +194,8 @@ JUDGES = {"agent": AGENT}
 def _holds(p: Found) -> Column:
     text = F.col(p.text)
     flags = f"(?dU{p.flags})"
+    if p.after:  # one search from the first place on, as each further place would read the rest again
+        return text.rlike(rf"(?dUs)\A(?>.*?(?:{p.after})).*?(?:{p.pattern})")
     text = F.regexp_replace(text, flags + p.without, " ") if p.without else text
     return text.rlike(flags + p.pattern) if p.least == 1 else F.regexp_count(text, F.lit(flags + p.pattern)) >= p.least
 

@@ -25,6 +25,8 @@ def _sql(judge: judges.Judge, last: str) -> str:
     """Step by step: each is a table in which one score has changed."""
 
     def holds(p: judges.Found) -> str:
+        if p.after:
+            return f"regexp_matches({p.text}, {_text(f'(?:{p.after}).*?(?:{p.pattern})')}, 's')"
         flags, text = _text(p.flags), f"regexp_replace({p.text}, {_text(p.without)}, ' ', 'g')" if p.without else p.text
         return f"regexp_matches({text}, {_text(p.pattern)}, {flags})" if p.least == 1 else f"len(regexp_extract_all({text}, {_text(p.pattern)}, 0, {flags})) >= {p.least}"
 

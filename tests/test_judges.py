@@ -26,6 +26,9 @@ UNITS = {
     "vendor": ("require_once 'x'; require_once( 'vendor/lib.php' );", CLEAN, "v", {"dependency_integrity": 6, "failures": ["direct_vendor_require"]}),
     "autoload": ("require_once( __DIR__ . 'a' ); require_once( 'vendor/autoload.php' );", CLEAN, "v", {"dependency_integrity": 7}),
     "loops": ("foreach ( $a as $b ) { $wpdb->x; get_post_meta( 1 ); }", CLEAN, "l", {"performance": 4, "failures": ["query_in_loop", "wp_query_in_loop"]}),
+    "posts_before_loop": ("$a = get_posts( 1 ); foreach ( $a as $b ) { x(); }", CLEAN, "l", {"performance": 9, "failures": []}),
+    "posts_after_first_loop": ("get_posts( 1 ); while ( $a ) { y(); }\nforeach ( $a as $b ) {}\nnew  WP_Query();", CLEAN, "l", {"performance": 7, "failures": ["wp_query_in_loop"]}),
+    "meta": ("x( 'select * from wp_postmeta' ); // Fixme", CLEAN, "m", {"performance": 7, "failures": ["possible_unprepared_query", "select_star_meta_no_limit"][1:], "code_quality": 9}),
     "hardcoded": ("function h() { echo 'Hello world'; }", CLEAN, "h_", {"i18n": 4, "failures": ["hardcoded_user_facing_strings"]}),
     "image": ("?><img src='x'><input type='hidden'><?php", CLEAN, "i", {"accessibility": 6, "failures": ["image_without_alt_text"]}),
     "field": ("?><input name='x'><?php", CLEAN, "i", {"accessibility": 6, "failures": ["form_input_without_label"]}),
