@@ -9,10 +9,14 @@ Similar sets are found by a prefix filter. In any common order of runs, two sets
 as similar as that share one of the first n - ceil(0.8 n) + 1 runs of each; runs
 that a sample of texts shares come last, which only saves comparisons. The
 prefixes are shuffled once, as hashes; a stream over the sorted rows keeps the runs
-that more than one set has. In each of the first rounds the rows of a run meet
-one of them, and what is left among rows that are not connected yet meets in the last
+that more than one set has. Two sets are compared only where the run may be the first
+that they share: what comes after it in each must suffice for the similarity. In each of
+the first rounds the rows of a run meet one of them, the one with the least before that
+run, as it is most like the others; what it links takes its name. Rounds go on while they
+spare comparisons, and what is left among rows that are not connected yet meets in the last
 one; so large groups of copies make few pairs, and no link between two components
-is lost. Candidates pass a filter of 64 one-bit minhashes, of which a pair at 0.8
+is lost. Rows of one run that are alike in nothing else are still held against each
+other there, by numbers alone, and make no pairs. Candidates pass a filter of 64 one-bit minhashes, of which a pair at 0.8
 has 57.6 alike on average: fewer than 40 stops it, which has a chance below
 10^-9. The rest are compared as whole sets. Equal sets are one node from the start.
 
@@ -100,12 +104,12 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, size: int, threshold: float, common: np.ndarray) -> DataFrame:
-    """x (a run), node and n. common: runs that come last, the rarest first."""
+    """x (a run), node, n and at (how many runs of the set come before x). common: runs that come last, the rarest first."""
     held, rank = np.sort(common), np.argsort(common, kind="stable")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at_row in ((b, k) for b in batches for k in range(0, b.num_rows, 2000)):
-            runs, nodes, sizes = [], [], []
+            runs, nodes, sizes, places = [], [], [], []
             for t in whole.slice(at_row, 2000).column(0):
                 h = run_hashes(t.as_py(), size)
                 if not (n := len(h)):
@@ -118,33 +122,35 @@ def _prefixes(docs: DataFrame, size: int, threshold: float, common: np.ndarray)
                 runs.append(h[np.lexsort((h, late))][:first])
                 nodes.append(np.full(first, xxhash.xxh64_intdigest(h.tobytes()), np.uint64))
                 sizes.append(np.full(first, n, np.int32))
+                places.append(np.arange(first, dtype=np.int32))
             if runs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(t)) for c, t in ((runs, np.int64), (nodes, np.int64), (sizes, np.int32))], names=["x", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(t)) for c, t in ((runs, np.int64), (nodes, np.int64), (sizes, np.int32), (places, np.int32))], names=["x", "node", "n", "at"])
         give_back()
 
-    return docs.select("text").mapInArrow(mapped, "x long, node long, n int")
+    return docs.select("text").mapInArrow(mapped, "x long, node long, n int, at int")
 
 
 def _shared(rows: DataFrame, parts: int) -> DataFrame:
-    """The distinct rows x, node, n whose x has more than one node."""
+    """The distinct rows x, node, n, at whose x has more than one node."""
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, node, n, had = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), False
+        names, had = ["x", "node", "n", "at"], False
+        x, node, n, at = (np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
         for b in batches:
             if not b.num_rows:
                 continue
-            x, node, n = (np.concatenate((c, b.column(i).to_numpy())) for i, c in enumerate((x, node, n)))
+            x, node, n, at = (np.concatenate((c, b.column(i).to_numpy())) for i, c in enumerate((x, node, n, at)))
             new = np.concatenate(([True], (x[1:] != x[:-1]) | (node[1:] != node[:-1])))
-            x, node, n = x[new], node[new], n[new]
+            x, node, n, at = x[new], node[new], n[new], at[new]
             before = np.concatenate(([had], x[1:] == x[:-1]))
             keep = before[:-1] | (x[1:] == x[:-1])
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in (x, node, n)], names=["x", "node", "n"])
-            x, node, n, had = x[-1:], node[-1:], n[-1:], bool(before[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in (x, node, n, at)], names=names)
+            x, node, n, at, had = x[-1:], node[-1:], n[-1:], at[-1:], bool(before[-1])
         if had:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x, node, n)], names=["x", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x, node, n, at)], names=names)
 
-    return rows.repartition(parts, "x").sortWithinPartitions("x", "node").mapInArrow(streamed, "x long, node long, n int")
+    return rows.repartition(parts, "x").sortWithinPartitions("x", "node").mapInArrow(streamed, "x long, node long, n int, at int")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -167,45 +173,74 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, size: int, th
     return both.where(same >= (F.size("s_a") + F.size("s_b") - same) * threshold - 1e-9).select(*pairs.columns)
 
 
+def _reach(threshold: float) -> Column:
+    """The largest set that can be as similar, if x is the first run that a set of n shares with it: they share n - at runs at most."""
+    return F.floor((F.col("n") - F.col("at")) * ((1 + threshold) / threshold) + 1e-6) - F.col("n")
+
+
 def _plausible(a: str, b: str, threshold: float) -> Column:
-    """By sizes and signatures."""
+    """By sizes, by what x leaves to share if it is the first run that they share, and by signatures."""
     n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
     alike = SIGNS - F.bit_count(F.col(f"{a}_signs").bitwiseXOR(F.col(f"{b}_signs")))
-    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (alike >= LEAST_SIGNS)
+    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (m <= F.col(f"{a}_reach")) & (n <= F.col(f"{b}_reach")) & (alike >= LEAST_SIGNS)
+
+
+def _mixed(left: DataFrame) -> DataFrame:
+    """Rows that can still meet one of another root. Of two similar sets the smaller one reaches its own size where their first shared run is."""
+    small = F.col("reach") >= F.col("n")
+    runs = left.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(small, F.col("n"))).alias("least"))
+    return left.join(runs.where("low <> high and least is not null").select("x", "least"), "x").where(small | (F.col("least") <= F.col("reach"))).drop("least")
+
 
+def _merged(good: DataFrame) -> DataFrame:
+    """root, to: what each root of linked pairs is called from now on, the least root of the centres that it has met, and the least that this one has met."""
+    met = good.select(F.col("other").alias("root"), F.col("centre").alias("to")).unionByName(good.select(F.col("centre").alias("root"), F.col("centre").alias("to")))
+    once = cut(met.groupBy("root").agg(F.min("to").alias("to")))
+    return once.join(once.select(F.col("root").alias("to"), F.col("to").alias("further")), "to", "left").select("root", F.coalesce("further", "to").alias("to"))
 
-def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int, size: int = 5, threshold: float = 0.8, stars: int = 2, sample: int = 64, most_common: int = 100_000) -> DataFrame:
-    """Links a, b between roots that connect what is similar. docs: rid, doc_id, text; profiles: as _profiles gives them; roots: node, root of nodes that are connected already."""
+
+def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int, size: int = 5, threshold: float = 0.8, stars: int = 2, sample: int = 64, most_common: int = 100_000, most_stars: int = 12, a_row: int = 8) -> DataFrame:
+    """Links a, b between roots that connect what is similar. docs: rid, doc_id, text; profiles: as _profiles gives them; roots: node, root of nodes that are connected already.
+
+    There are `stars` rounds with centres, and up to most_stars as long as the last round would compare more than
+    a_row pairs for each row and a round with centres spares a tenth of them.
+    """
     some = docs.where(F.pmod(F.col("rid"), F.lit(sample)) == 0).select("text")
     often = _prefixes(some, size, 0.0, np.zeros(0, np.uint64)).groupBy("x").agg(F.count_distinct("node").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").select("x").limit(most_common).toArrow()
     common = often.column("x").to_numpy()[::-1].copy().view(np.uint64)
     first = cut(profiles.where("n > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.first("signs").alias("signs")))
-    left = cut(_shared(_prefixes(docs, size, threshold, common), parts).join(first.select("node", "signs"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = lambda df: df.join(df.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("x"), "x", "left_semi")
-    left = cut(mixed(left))
-    first, found = first.select("node", "rid"), None
-    side = lambda name: left.select("x", *(F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "signs", "root")))
-    for k in range(stars + 1):
-        if left.isEmpty():
+    left = _shared(_prefixes(docs, size, threshold, common), parts).join(first.select("node", "signs"), "node").join(roots, "node", "left")
+    left = cut(left.select("x", "node", "n", "at", "signs", F.coalesce("root", "node").alias("root"), _reach(threshold).alias("reach")))
+    left = cut(_mixed(left))
+    first, found, k, before = first.select("node", "rid"), None, 0, None
+    side = lambda name: left.select("x", *(F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "at", "signs", "root", "reach")))
+    while True:
+        held = left.groupBy("x").agg(F.count("*").alias("all"), F.count_if(F.col("reach") >= F.col("n")).alias("small"))
+        rows, compared = held.agg(F.sum("all"), F.sum(F.col("all") * F.col("small"))).first()
+        if not rows:
             break
+        last = k >= stars and (k >= most_stars or compared <= a_row * rows or (k > 0 and compared > 0.9 * before))
+        before = compared
         a = side("a")
-        if k < stars:
-            a = a.groupBy("x").agg(F.min(F.struct(F.xxhash64("a_node", F.lit(k)).alias("turn"), "a_node", "a_n", "a_signs", "a_root")).alias("m")).select("x", "m.a_node", "m.a_n", "m.a_signs", "m.a_root")
-        met = a.join(side("b"), "x").where((F.col("a_root") != F.col("b_root")) & _plausible("a", "b", threshold))
-        if k == stars:
-            met = met.where("a_node < b_node")
-        pairs = cut(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), F.least("a_root", "b_root").alias("low"), F.greatest("a_root", "b_root").alias("high")).distinct())
-        if pairs.isEmpty() and k == stars:
-            break
-        good = cut(_verified(pairs, docs, first, size, threshold))
+        if last:
+            met = a.where("a_reach >= a_n").join(side("b"), "x").where(F.struct("a_n", "a_node") < F.struct("b_n", "b_node"))
+        else:  # the set with the least before x is most like the others
+            kept = ("a_node", "a_n", "a_at", "a_signs", "a_root", "a_reach")
+            a = a.groupBy("x").agg(F.min(F.struct((F.col("a_at") / F.col("a_n")).alias("before"), F.xxhash64("a_node", F.lit(k)).alias("turn"), *kept)).alias("m")).select("x", *(f"m.{c}" for c in kept))
+            met = a.join(side("b"), "x")
+        met = met.where((F.col("a_root") != F.col("b_root")) & _plausible("a", "b", threshold))
+        pairs = met.groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).agg(F.min(F.struct(F.col("a_root").alias("centre"), F.col("b_root").alias("other"))).alias("m"))
+        good = cut(_verified(cut(pairs.select("a", "b", "m.centre", "m.other")), docs, first, size, threshold))
         found = good if found is None else found.unionByName(good)
-        if k < stars:  # rows that met all others of their run are done, and so are runs whose rows are connected
-            hop = good.groupBy(F.col("high").alias("root")).agg(F.min("low").alias("to"))
-            rest = left.join(a.select("x", F.col("a_node").alias("node")), ["x", "node"], "left_anti").join(hop, "root", "left")
-            left = cut(mixed(cut(rest.select("x", "node", "n", "signs", F.coalesce("to", "root").alias("root")))))
+        if last:
+            break
+        # rows that met all others of their run are done, and so are runs whose rows are connected
+        rest = left.join(a.select("x", F.col("a_node").alias("node")), ["x", "node"], "left_anti").join(_merged(good), "root", "left")
+        left = cut(_mixed(cut(rest.select("x", "node", "n", "at", "signs", F.coalesce("to", "root").alias("root"), "reach"))))
+        k += 1
     if found is None:
         return left.select(F.col("root").alias("a"), F.col("root").alias("b"))
-    return found.select(F.col("low").alias("a"), F.col("high").alias("b"))
+    return found.select(F.col("centre").alias("a"), F.col("other").alias("b"))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, threshold: float = 0.8, **how: int) -> DataFrame:

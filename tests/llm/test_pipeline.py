@@ -93,6 +93,33 @@ def test_no_similar_pair_is_kept(spark):
         assert {r.doc_id for r in similar.one_of_each(docs, stars=stars, sample=2).collect()} == want
 
 
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    import random
+
+    rnd, asked, plain = random.Random(5), [], similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *more: asked.append(pairs.count()) or plain(pairs, *more))
+    base, rows = [f"w{rnd.randrange(4000)}" for _ in range(150)], []
+    for _ in range(600):
+        copy = list(base)
+        for at in rnd.sample(range(150), rnd.randrange(10)):
+            copy[at] = f"n{rnd.randrange(10**6)}"
+        rows.append(" ".join(copy))
+    kept = {r.doc_id for r in similar.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), sample=2).collect()}
+    runs, prints = [plain_runs(t) for t in rows], [simhash.fingerprint(t) for t in rows]
+    linked = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4 or len(runs[i] & runs[j]) >= 0.8 * len(runs[i] | runs[j])
+    left, want = list(range(600)), set()
+    while left:
+        todo = [left.pop(0)]
+        want.add(todo[0])
+        while todo:
+            i = todo.pop()
+            near = {j for j in left if linked(i, j)}
+            left = [j for j in left if j not in near]
+            todo += near
+    assert kept == want and len(want) > 50
+    assert sum(asked) < 6 * len(rows), asked
+
+
 def test_boilerplate_of_small_and_large_hosts(spark):
     line = "a line of every site"
     rows = [(i, f"own {i}\n" + (line if i < 3 else f"more {i}"), "small") for i in range(10)] + [(100 + i, f"own {i}\n" + (line if i < 8 else f"more {i}"), "large") for i in range(100)]
