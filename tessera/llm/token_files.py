@@ -33,7 +33,7 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,9 +50,9 @@ SOURCE = "tessera_tokens"
 #: White space to str.split, but not to the patterns of a vocabulary.
 ODD = re.compile("[\x1c-\x1f]")
 #: A single mark between a letter and white space or the end.
-APART = re.compile(r"(?<=[^\W\d_])[.,;:!?](?=\s|\Z)")
-#: Letters whose classes are the same in every Unicode version that a library may hold.
-USUAL = "ɏ"
+APART = re.compile(r"[.,;:!?](?!\S)(?<=[^\W\d_].)")
+#: Not letters whose classes are the same in every Unicode version that a library may hold; one of those has two letters for its lower case.
+UNUSUAL = re.compile("[^\0-įı-ɏ]")
 
 
 class WordEncoder:
@@ -63,17 +63,18 @@ class WordEncoder:
     and single marks behind letters are set apart, as the vocabulary's pattern does, so that
     fewer words are different. New words of letters alone are encoded as one text and
     told apart by the mark of word ends in their last tokens; if there are not as
-    many of those as words, and for all other words, each is encoded alone. Texts with
+    many of those as words, and for all other words, each is encoded alone. New words are
+    gathered over ``together`` characters of texts first. Texts with
     characters that only Python takes for white space go through the library whole.
     """
 
     END = "</w>"
 
-    def __init__(self, path: str, memory: int = 350_000, stretch: int = 1 << 20):
+    def __init__(self, path: str, memory: int = 350_000, stretch: int = 1 << 20, together: int = 1 << 17):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.whole, self.memory, self.stretch = Tokenizer.from_file(path), memory, stretch
+        self.whole, self.memory, self.stretch, self.together = Tokenizer.from_file(path), memory, stretch, together
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -85,7 +86,7 @@ class WordEncoder:
         return [np.array(e.ids, self.dtype) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha() and max(w) <= USUAL]
+        plain = [w for w in words if w.isalpha() and (w.isascii() or not UNUSUAL.search(w))]
         if plain:
             ids = self._ids([" ".join(plain)])[0]
             cuts = ((np.flatnonzero(self.closes[ids]) + 1) * ids.itemsize).tolist()
@@ -105,23 +106,44 @@ class WordEncoder:
             at = end
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self._of, self._stretches(text)))
-
-    def _of(self, text: str) -> bytes:
-        if not text or ODD.search(text):
-            return self._ids([text])[0].tobytes()
-        if max(text) <= USUAL and "İ" not in text and "<|" not in text:
+        return next(self.each([text]))
+
+    def each(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        held, size = [], 0
+        for text in texts:
+            if len(text) > self.stretch:
+                yield from self._of(held)
+                held, size = [], 0
+                yield b"".join(next(self._of([part])) for part in self._stretches(text))
+                continue
+            held.append(text)
+            size += len(text)
+            if size >= self.together:
+                yield from self._of(held)
+                held, size = [], 0
+        yield from self._of(held)
+
+    def _words(self, text: str) -> list[str]:
+        if not UNUSUAL.search(text) and "<|" not in text:
             text = APART.sub(r" \g<0>", text.lower())
-        words = text.split()
-        new = set(words).difference(self.words)
-        if new:
+        return text.split()
+
+    def _of(self, texts: list[str]) -> Iterator[bytes]:
+        words = [None if not t or ODD.search(t) else self._words(t) for t in texts]
+        found = [[] if w is None else list(map(self.words.get, w)) for w in words]
+        missing = [[k for k, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        if new := {w[k] for w, at in zip(words, missing, strict=True) for k in at}:
+            older = self.older
             if len(self.words) >= self.memory:
                 self.older, self.words = self.words, {}
-                new = set(words)
-            self.words.update((w, self.older[w]) for w in new if w in self.older)
+            self.words.update((w, older[w]) for w in new if w in older)
             if unknown := [w for w in new if w not in self.words]:
                 self._learn(unknown)
-        return b"".join(map(self.words.__getitem__, words))
+        for text, w, f, at in zip(texts, words, found, missing, strict=True):
+            for k in at:
+                f[k] = self.words[w[k]]
+            yield self._ids([text])[0].tobytes() if w is None else b"".join(f)
 
 
 class Encoder:
@@ -137,6 +159,9 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def each(self, texts: Iterable[str]) -> Iterator[bytes]:
+        return map(self, texts)
+
 
 def drops_white_space(path: str) -> bool:
     """Whether white space only separates: the pre-tokenizer keeps nothing but what a pattern without white space finds, and words have an end mark."""
@@ -193,10 +218,10 @@ class TokenWriter(DataSourceArrowWriter):
         with store.open_output_stream(f"{root}/{name}.ids") as ids, store.open_output_stream(f"{root}/{name}.docs") as held:
             for batch in iterator:
                 lengths = []
-                for text in batch.column("text"):
-                    found = encode(text.as_py() or "") + end
+                for found in encode.each(t.as_py() or "" for t in batch.column("text")):
                     ids.write(found)
-                    lengths.append(len(found) // width)
+                    ids.write(end)
+                    lengths.append(len(found) // width + 1)
                 if lengths:
                     ends.append(at + np.cumsum(np.array(lengths, np.int64)))
                     at = int(ends[-1][-1])

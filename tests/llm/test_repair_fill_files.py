@@ -200,3 +200,16 @@ def test_words_as_the_library_gives_them():
     for _ in range(3000):
         text = "".join(draw.choice(letters[: draw.choice((5, 40, len(letters)))]) for _ in range(draw.randint(0, 30)))
         assert enc(text) == np.array(enc.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), text
+
+
+def test_new_words_of_many_texts_are_learned_at_once():
+    draw, enc = random.Random(4), token_files.WordEncoder(WORDS, memory=300, stretch=400, together=2000)
+    texts = ["", "İ. i̇", "a\x1fb", "Straße, ſo! <|endoftext|>"] + [" ".join("".join(draw.choice("abeéİ.,!1") for _ in range(draw.randint(1, 6))) for _ in range(draw.choice((0, 3, 30, 150)))) for _ in range(400)]
+    learned, learn = [], enc._learn
+    enc._learn = lambda words: learned.append(len(words)) or learn(words)
+    assert list(enc.each(texts)) == [np.array(enc.whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    enc.stretch, learned[:] = 1 << 20, []
+    fresh = [f"{'abcdefgh'[k % 8]}{'xyz' * (k % 5)}{chr(97 + k // 8)}" for k in range(200)]
+    enc.together = 1 << 17
+    assert b"".join(enc.each(fresh)) == b"".join(np.array(enc.whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in fresh)
+    assert len(learned) == 1
