@@ -32,7 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Narrow rows, computed once and kept in the shared folder."""
+    """Narrow rows, computed once and kept in the shared folder.
+
+    The optimizer keeps the size that it estimated before, which for a join is the product of
+    its sides. In rounds of joins on what the round before gave, that number gets more digits
+    than planning can bear: there use stored, whose size is that of its files.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -45,6 +50,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes what stored() wrote for df, once nothing is to read it again."""
+    spark = df.sparkSession
+    of = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in of:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def in_reach(df: DataFrame, most: int = 400_000) -> DataFrame:
     """Narrow rows to join with: to be broadcast if they were counted to be at most `most`, else as they are, and Spark deals both sides by key."""
     kept = cut(df)

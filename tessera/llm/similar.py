@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut, give_back, in_reach, pieces_for
+from tessera.llm._common import cut, forget, give_back, in_reach, pieces_for, stored
 from tessera.llm.simhash import RADIUS, fingerprint, links
 from tessera.operators.components import components
 
@@ -199,11 +199,12 @@ def _merged(good: DataFrame) -> DataFrame:
     return once.join(once.select(F.col("root").alias("to"), F.col("to").alias("further")), "to", "left").select("root", F.coalesce("further", "to").alias("to"))
 
 
-def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int, size: int = 5, threshold: float = 0.8, stars: int = 2, sample: int = 64, most_common: int = 100_000, most_stars: int = 12, a_row: int = 8) -> DataFrame:
+def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int, size: int = 5, threshold: float = 0.8, stars: int = 2, sample: int = 64, most_common: int = 100_000, most_stars: int = 12, a_row: int = 8, few: int = 50_000) -> DataFrame:
     """Links a, b between roots that connect what is similar. docs: rid, doc_id, text; profiles: as _profiles gives them; roots: node, root of nodes that are connected already.
 
     There are `stars` rounds with centres, and up to most_stars as long as the last round would compare more than
-    a_row pairs for each row and a round with centres spares a tenth of them.
+    a_row pairs for each row, and more than `few` (fewer take less time than a round), and a round with centres
+    spares a tenth of them.
     """
     some = docs.where(F.pmod(F.col("rid"), F.lit(sample)) == 0).select("text")
     often = _prefixes(some, size, 0.0, np.zeros(0, np.uint64)).groupBy("x").agg(F.count_distinct("node").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").select("x").limit(most_common).toArrow()
@@ -211,7 +212,7 @@ def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int,
     first = cut(profiles.where("n > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.first("signs").alias("signs")))
     left = _shared(_prefixes(docs, size, threshold, common), parts).join(first.select("node", "signs"), "node").join(roots, "node", "left")
     left = cut(left.select("x", "node", "n", "at", "signs", F.coalesce("root", "node").alias("root"), _reach(threshold).alias("reach")))
-    left = cut(_mixed(left))
+    left = stored(_mixed(left))  # in files, and so is what is good: else sizes that the optimizer expects multiply over rounds
     first, found, k, before = first.select("node", "rid"), None, 0, None
     side = lambda name: left.select("x", *(F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "at", "signs", "root", "reach")))
     while True:
@@ -219,7 +220,7 @@ def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int,
         rows, compared = held.agg(F.sum("all"), F.sum(F.col("all") * F.col("small"))).first()
         if not rows:
             break
-        last = k >= stars and (k >= most_stars or compared <= a_row * rows or (k > 0 and compared > 0.9 * before))
+        last = k >= stars and (k >= most_stars or compared <= max(few, a_row * rows) or (k > 0 and compared > 0.9 * before))
         before = compared
         a = side("a")
         if last:
@@ -230,13 +231,15 @@ def similar(docs: DataFrame, profiles: DataFrame, roots: DataFrame, parts: int,
             met = a.join(side("b"), "x")
         met = met.where((F.col("a_root") != F.col("b_root")) & _plausible("a", "b", threshold))
         pairs = met.groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).agg(F.min(F.struct(F.col("a_root").alias("centre"), F.col("b_root").alias("other"))).alias("m"))
-        good = cut(_verified(cut(pairs.select("a", "b", "m.centre", "m.other")), docs, first, size, threshold))
+        good = stored(_verified(cut(pairs.select("a", "b", "m.centre", "m.other")), docs, first, size, threshold))
         found = good if found is None else found.unionByName(good)
         if last:
             break
         # rows that met all others of their run are done, and so are runs whose rows are connected
         rest = left.join(a.select("x", F.col("a_node").alias("node")), ["x", "node"], "left_anti").join(_merged(good), "root", "left")
-        left = cut(_mixed(cut(rest.select("x", "node", "n", "at", "signs", F.coalesce("to", "root").alias("root"), "reach"))))
+        rest = cut(rest.select("x", "node", "n", "at", "signs", F.coalesce("to", "root").alias("root"), "reach"))
+        old, left = left, stored(_mixed(rest))
+        forget(old)
         k += 1
     if found is None:
         return left.select(F.col("root").alias("a"), F.col("root").alias("b"))

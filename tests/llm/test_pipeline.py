@@ -3,7 +3,7 @@ import public_tokenizers
 from tests.llm.test_tokens import BYTE, check_packed
 
 from tessera.llm import packing, similar, simhash
-from tessera.llm._common import stored
+from tessera.llm._common import size_hint, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -120,6 +120,17 @@ def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
     assert sum(asked) < 6 * len(rows), asked
 
 
+def test_rounds_do_not_multiply_expected_sizes_and_are_few_for_few_pairs(spark, monkeypatch):
+    plain, digits = similar._verified, []
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *more: digits.append(len(str(size_hint(pairs)))) or plain(pairs, *more))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    kept = {r.doc_id for r in similar.one_of_each(docs).select("doc_id").collect()}
+    assert len(digits) <= 3  # two rounds with centres, then all others
+    digits.clear()
+    assert {r.doc_id for r in similar.one_of_each(docs, stars=5).select("doc_id").collect()} == kept
+    assert len(digits) == 6 and max(digits) < 30, digits
+
+
 def test_boilerplate_of_small_and_large_hosts(spark):
     line = "a line of every site"
     rows = [(i, f"own {i}\n" + (line if i < 3 else f"more {i}"), "small") for i in range(10)] + [(100 + i, f"own {i}\n" + (line if i < 8 else f"more {i}"), "large") for i in range(100)]
