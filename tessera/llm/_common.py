@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +80,18 @@ def pieces_for(df: DataFrame, bytes_each: int) -> int:
     return max(1, -(-size // bytes_each))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "2m") -> Iterator[None]:
+    """What runs meanwhile sends rows to Python in batches of about so many bytes; wide rows in Spark's own size are held several times by each task, in Arrow's buffers and in the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def give_back() -> None:
     """Gives what a worker has freed back to the system; workers are kept for later stages, and so is what their allocators hold."""
     pa.default_memory_pool().release_unused()

@@ -5,7 +5,7 @@ Three steps:
 1. *Tokenise* (map only). Each document gets its ids and the separator id, as
    packed unsigned integers, and a lane by a hash of its place in the input, so rows
    that are alike are spread. The result is kept as Parquet in the shared folder,
-   so each text is tokenised once.
+   so each text is tokenised once. Texts reach the workers in small batches.
 2. *Deficits across partitions.* Tokens are summed by lane and source; the sums
    of the lanes before give each lane, for each source, by how much that source
    has so far fallen short of its target share. A lane starts with this.
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import give_back, pieces_for, stored
+from tessera.llm._common import give_back, pieces_for, small_batches, stored
 
 #: A space before white space or the end: only there can a pre-token reach over a space between two words.
 RISKY = re.compile(r" (?=\s|\Z)")
@@ -100,6 +100,7 @@ class Encoder:
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.quick = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        give_back()  # what reading the files took
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -224,7 +225,8 @@ def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str
     source.
     """
     lanes = pieces_for(docs, lane_bytes)
-    tokens = stored(tokenised(docs, lanes, path, ranks_path, pattern, separator))
+    with small_batches(docs.sparkSession):
+        tokens = stored(tokenised(docs, lanes, path, ranks_path, pattern, separator))
     kind = dict(docs.dtypes)["doc_id"]
     id_type = tokens.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]

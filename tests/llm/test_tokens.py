@@ -125,6 +125,26 @@ def test_lanes_sources_and_nulls(spark, encoder):
     assert packing.pack(docs.limit(0), *BYTE).collect() == []
 
 
+def test_texts_reach_workers_in_small_batches(spark, encoder, monkeypatch, tmp_path):
+    data = [(i, f"the cat {i} " * 400, "a") for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").coalesce(1)
+    sizes, real, key = tmp_path / "sizes", packing.tokenised, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def noted(batches):
+        for b in batches:
+            with open(sizes, "a") as f:
+                f.write(f"{b.nbytes}\n")
+            yield b
+
+    monkeypatch.setattr(packing, "tokenised", lambda d, *how: real(d.mapInArrow(noted, d.schema), *how))
+    before = spark.conf.get(key)
+    rows = packing.pack(docs, *BYTE)
+    assert spark.conf.get(key) == before
+    some = [int(n) for n in sizes.read_text().split()]
+    assert sum(some) > 12_000_000 and max(some) < 2_200_000
+    check_packed(rows.collect(), {i: t for i, t, _ in data}, encoder)
+
+
 def test_every_window_is_on_target(spark):
     rnd = random.Random(2)
     sizes = {"a": 3, "b": 2, "c": 1}
