@@ -81,7 +81,7 @@ def summary(df: DataFrame, by: list[str], key: str, model: str, least_stdev: flo
     """
     paired = df.where("reason IS NULL")
     counts = df.groupBy(*by).agg(F.count("*").alias("examples"), F.count_if(F.col("reason").isNull()).alias("paired"), F.count_if(F.col("reason").isNotNull()).alias("skipped"))
-    spread = paired.groupBy(*by).agg(F.stddev_pop("gt").alias("stdev"), F.count_distinct(F.round("gt", 3)).alias("distinct"), stats.varies(F.col("gt"), least_stdev or 0.0, least_unique).alias("_varies"))
+    spread = paired.groupBy(*by).agg(F.stddev_pop("gt").alias("stdev"), F.count_distinct(stats.rounded(F.col("gt"), 3)).alias("distinct"), stats.varies(F.col("gt"), least_stdev or 0.0, least_unique).alias("_varies"))
     out = _beside(_beside(counts, spread, by), correlations(paired, by, key, model).drop("n"), by)
     if least_stdev is None:
         out = out.withColumn("stopped", F.lit(None).cast("string")).withColumn("rho", F.coalesce("rho", F.lit(0.0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import resampling
+from tessera.functions import resampling, stats
 from tessera.operators import forms, judging
 from tessera.plans._registry import query, tables
 
@@ -111,7 +111,7 @@ t AS (SELECT *, CASE WHEN event_type = 'error' AND m % 2 = 1 THEN 'api_error' WH
 
 def _answers(spark, sf_dir):
     (e,) = tables(spark, sf_dir, "events")
-    usual = e.where("event_type = 'view'").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("usual"))
+    usual = e.where("event_type = 'view'").groupBy("user_id").agg(stats.rounded(F.avg("value"), 6).alias("usual"))
     return e.join(usual, "user_id", "left").select("event_id", "event_type", "user_id", F.get_json_object("props", "$.k").try_cast("double").alias("m"), F.when(F.col("value") < 50, F.col("value")).alias("own"), "usual")
 
 
@@ -161,4 +161,5 @@ def judge_canonical(spark, sf_dir):
     """One truth only and no fallback, its variance checked first, with a second truth beside it. Clicks have a truth that does not vary, purchases none."""
     rows = _answers(spark, sf_dir).withColumn("g", F.when(F.col("event_type") == "click", 50.0).when(F.col("event_type") != "purchase", F.col("usual")))
     out = judging.summary(judging.tagged(rows, _skips()[:2], [("canonical", F.col("g"))]), ["event_type"], "event_id", "m", least_stdev=1.0, least_unique=10, soft="own")
-    return out.select("event_type", "examples", "paired", "skipped", F.round("stdev", 6).alias("stdev"), F.col("distinct").alias("distinct_truths"), F.round("rho", 6).alias("rho"), "stopped", "soft_pairs", F.round("soft_rho", 6).alias("soft_rho"))
+    six = {c: stats.rounded(F.col(c), 6) for c in ("stdev", "rho", "soft_rho")}
+    return out.withColumns(six).select("event_type", "examples", "paired", "skipped", "stdev", F.col("distinct").alias("distinct_truths"), "rho", "stopped", "soft_pairs", "soft_rho")

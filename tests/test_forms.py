@@ -157,6 +157,18 @@ def test_dimensions_fall_back(spark):
     assert got == [(1, "a", 1.0, 9.0, "own"), (1, "b", 2.0, 8.0, "rubric"), (4, "a", 1.0, 4.0, "rubric")]
 
 
+def test_truths_are_rounded_as_in_sql(spark, duck):
+    values = [0.5, 0.5005, -0.5015, *(k / 2000 for k in range(-20001, 60001, 2)), 1e306]
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "k long, gt double")
+    (want,) = duck.execute("SELECT list(round(v, 3)) FROM (SELECT unnest(?) AS v)", [values]).fetchone()
+    got = df.select("k", stats.rounded(F.col("gt"), 3).alias("v")).union(spark.createDataFrame([(len(values), None)], "k long, v double")).orderBy("k").collect()
+    assert [r.v for r in got] == [*want, None]
+    assert spark.sql("SELECT double('nan') AS v").select(F.isnan(stats.rounded(F.col("v"), 3)).alias("v")).first().v
+    rows = df.where("k < 2").select("k", F.lit("x").alias("g"), F.lit(None).cast("string").alias("reason"), "gt", F.col("k").cast("double").alias("m"))
+    (only,) = judging.summary(rows, ["g"], "k", "m").collect()
+    assert only.distinct == 1  # both are 0.5 to three digits in SQL
+
+
 @pytest.mark.parametrize("most", [3, 1_000_000])
 def test_rank_correlation_both_ways(spark, most):
     r = np.random.default_rng(3)
