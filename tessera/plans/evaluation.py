@@ -211,8 +211,7 @@ def bootstrap_spearman_delta(spark, sf_dir):
     """Does price follow quantity better than discount does; every line item is an item of its own."""
     (li,) = tables(spark, sf_dir, "lineitem")
     rows = li.select("l_suppkey", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("item"), "l_extendedprice", "l_quantity", "l_discount")
-    found = resampling.resampled(rows, ["l_suppkey"], "item", {"near": ("l_extendedprice", "l_quantity"), "far": ("l_extendedprice", "l_discount")}, {})
-    return resampling.bounds(found, ["l_suppkey"], F.col("near") - F.col("far"))
+    return resampling.intervals(rows, ["l_suppkey"], "item", {"near": ("l_extendedprice", "l_quantity"), "far": ("l_extendedprice", "l_discount")}, {}, {"near": 1.0, "far": -1.0})
 
 
 _DRAWS, _HASH, _WEIGHT = resampling.weights_sql("doc_id", 200)
