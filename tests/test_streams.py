@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,70 @@ def test_slopes_follow_event_time_over_restarts(spark, tmp_path):
     assert got == {k: None if v is None else pytest.approx(v) for k, v in want.items()}  # at the watermark, minute 30, and after it rows still wait
 
 
+def _at(spark, rows):
+    """k, id and milliseconds."""
+    made = spark.createDataFrame(rows, "k string, id long, m long")
+    return made.select("k", "id", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("m")).alias("ts"), F.col("m").cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit("z").alias("slope"))
+
+
+@pytest.mark.parametrize(("last", "told"), [(600_000, 0), (600_001, 1), (600_002, 2)])
+def test_rows_are_told_as_soon_as_the_watermark_has_passed(spark, tmp_path, last, told):
+    rows = [("a", 1, 0), ("b", 2, 1), ("c", 3, 2), ("c", 4, last)]
+    assert set(_slopes([_at(spark, rows)], tmp_path / "one")) == {("a", 1), ("b", 2)} & {(k, i) for k, i, _ in rows[:told]}
+    later = [*rows[:3], ("c", 4, 600_000)], [("c", 5, last)]
+    assert set(_slopes([_at(spark, p) for p in later], tmp_path / "two")) == {(k, i) for k, i, _ in rows[:told]}
+
+
+def test_many_slopes_at_once_are_the_same():
+    r = np.random.default_rng(1)
+    place = np.concatenate([np.arange(n) for n in (1, 2, 3, 9, 10, 11, 40)])
+    x, y = r.integers(0, 3, len(place)) * 1e6 + r.integers(0, 2, len(place)), r.random(len(place))
+    for rows in (1, 2, 3, 10):
+        got = stateful.trailing_slopes(place, x, y, rows)
+        for k, p in enumerate(place):
+            want = stateful.slope(list(zip(x[: k + 1], y[: k + 1], strict=True))[k - min(p, rows - 1) :])
+            assert np.isnan(got[k]) if want is None else got[k] == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+class Handle:
+    """State in lists that counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.held = 0, []
+
+    def getListState(self, *_):
+        return self
+
+    getValueState = getListState
+
+    def get(self):
+        self.calls += 1
+        held = list(self.held)
+        return held if self.calls == 3 else None
+
+    def call(self, *values):
+        self.calls += 1
+        self.held += values
+
+    appendValue = put = update = registerTimer = clear = call
+
+
+class Times:
+    def getCurrentWatermarkInMs(self):
+        return 10_000
+
+
+def test_state_is_asked_for_many_rows_at_once():
+    slopes, handle = stateful.TrailingSlope(10), Handle()
+    slopes.init(handle)
+    frame = pd.DataFrame({"key": [str(k % 50) for k in range(5000)], "at": range(5000), "id": range(5000), "x": np.arange(5000.0), "y": np.arange(5000.0)})
+    assert list(slopes.handleInputRows((0,), iter([frame]), Times())) == []
+    handle.held = [v for v in handle.held if isinstance(v, tuple)]
+    (told,) = slopes.handleExpiredTimer((0,), Times(), None)
+    assert len(told) == 5000 and told["slope"].isna().sum() == 50 and told["slope"].dropna().round(9).eq(1).all()
+    assert handle.calls < 10
+
+
 def test_same_data_again_adds_nothing(spark, tmp_path):
     log = _log(spark, [("a", 1, 0, 1.0), ("a", 2, 60, 2.0)])
     assert _slopes([log], tmp_path) == {("a", 1): None}
